@@ -8,6 +8,18 @@ from pyspark.sql import functions as F
 from scenelake.llm.common import table
 from scenelake.llm.exact_dedup import exact_duplicates
 from scenelake.llm.simhash import near_duplicates
+from scenelake.llm.substring_dedup import remove_repeats
+
+
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the words that are left once repeated passages are gone."""
+    found = remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_words",
+        "n_removed",
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +41,11 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op7_exact_dedup": op7_exact_dedup, "op9_simhash": op9_simhash}
+    return {
+        "op2_substring_dedup": op2_substring_dedup,
+        "op7_exact_dedup": op7_exact_dedup,
+        "op9_simhash": op9_simhash,
+    }
 
 
 SQL = {
