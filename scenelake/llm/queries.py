@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scenelake.llm.bpe import decode, encode
 from scenelake.llm.common import table
 from scenelake.llm.exact_dedup import exact_duplicates
+from scenelake.llm.packing import pack
 from scenelake.llm.simhash import near_duplicates
 from scenelake.llm.substring_dedup import remove_repeats
 
@@ -22,6 +25,18 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens, encoded and decoded again."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    found = decode(encode(table(spark, sf_dir, "documents"), path), path)
+    return found.select(
+        F.col("id").alias("doc_id"),
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the document that stays for its text."""
     found = exact_duplicates(table(spark, sf_dir, "documents"))
@@ -30,6 +45,21 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document in the packed sequences."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    found = pack(table(spark, sf_dir, "documents"), path)
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "start",
+        "length",
+        F.crc32("ids").alias("ids_crc32"),
+        "doc_tokens",
+        F.col("sequence").alias("sequence_id"),
+        "offset",
+    )
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint and near-duplicate component."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
@@ -43,7 +73,9 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op2_substring_dedup": op2_substring_dedup,
+        "op3_bpe": op3_bpe,
         "op7_exact_dedup": op7_exact_dedup,
+        "op8_packing": op8_packing,
         "op9_simhash": op9_simhash,
     }
 
