@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from scenelake.llm.bpe import decode, encode
 from scenelake.llm.common import table
 from scenelake.llm.exact_dedup import exact_duplicates
+from scenelake.llm.html_text import extract
+from scenelake.llm.licences import oracle as licence_sql
+from scenelake.llm.licences import scan
 from scenelake.llm.packing import pack
 from scenelake.llm.simhash import near_duplicates
 from scenelake.llm.substring_dedup import remove_repeats
@@ -37,6 +40,14 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's main text."""
+    found = extract(table(spark, sf_dir, "pages"))
+    return found.select(
+        F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars")
+    )
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the document that stays for its text."""
     found = exact_duplicates(table(spark, sf_dir, "documents"))
@@ -70,17 +81,32 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's canonical digest, the licence that it is and the notices in it."""
+    found = scan(table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "digest",
+        "licence",
+        F.array_join("notices", ",").alias("notices"),
+        "n_notice_lines",
+    )
+
+
 def queries() -> dict:
     return {
         "op2_substring_dedup": op2_substring_dedup,
         "op3_bpe": op3_bpe,
+        "op6_html_text": op6_html_text,
         "op7_exact_dedup": op7_exact_dedup,
         "op8_packing": op8_packing,
         "op9_simhash": op9_simhash,
+        "op10_licences": op10_licences,
     }
 
 
 SQL = {
+    "op10_licences": licence_sql("documents"),
     "op7_exact_dedup": r"""
 WITH n AS (
   SELECT doc_id, length(coalesce(text, '')) AS points,
