@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scenelake.llm import warc
 from scenelake.llm.bpe import decode, encode
 from scenelake.llm.common import table
 from scenelake.llm.exact_dedup import exact_duplicates
@@ -40,6 +41,21 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record, written to packages and read back.
+
+    Digests of responses are computed anew from the payloads that were read."""
+    found = warc.read(warc.write(table(spark, sf_dir, "pages")))
+    own = F.sha2(F.col("payload"), 256)
+    return found.select(
+        F.col("id").alias("page_id"),
+        "payload_bytes",
+        F.coalesce(own, "payload_digest").alias("payload_digest"),
+        "record_type",
+        "refers_to",
+    )
+
+
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's main text."""
     found = extract(table(spark, sf_dir, "pages"))
@@ -97,6 +113,7 @@ def queries() -> dict:
     return {
         "op2_substring_dedup": op2_substring_dedup,
         "op3_bpe": op3_bpe,
+        "op5_warc": op5_warc,
         "op6_html_text": op6_html_text,
         "op7_exact_dedup": op7_exact_dedup,
         "op8_packing": op8_packing,
@@ -107,6 +124,15 @@ def queries() -> dict:
 
 SQL = {
     "op10_licences": licence_sql("documents"),
+    "op5_warc": """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
+                  sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
+FROM f
+""",
     "op7_exact_dedup": r"""
 WITH n AS (
   SELECT doc_id, length(coalesce(text, '')) AS points,
