@@ -7,10 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scenelake.llm import warc
+from scenelake.llm.ann import search
 from scenelake.llm.bpe import decode, encode
 from scenelake.llm.common import table
 from scenelake.llm.exact_dedup import exact_duplicates
 from scenelake.llm.html_text import extract
+from scenelake.llm.language_id import held_out, identify, learn
 from scenelake.llm.licences import oracle as licence_sql
 from scenelake.llm.licences import scan
 from scenelake.llm.packing import pack
@@ -18,6 +20,15 @@ from scenelake.llm.simhash import near_duplicates
 from scenelake.llm.substring_dedup import remove_repeats
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's predicted language."""
+    docs = table(spark, sf_dir, "documents")
+    model = learn(docs)
+    return identify(docs.select("doc_id", "text"), model).select(
+        "doc_id", held_out("doc_id").alias("held_out"), "lang_pred", F.col("lang_score").alias("score")
+    )
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the words that are left once repeated passages are gone."""
     found = remove_repeats(table(spark, sf_dir, "documents"))
@@ -41,6 +52,14 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of every hundredth vector."""
+    found = search(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+    return found.select(
+        F.col("query").alias("query_id"), "rank", F.col("id").alias("vec_id"), "score"
+    )
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's record, written to packages and read back.
 
@@ -111,8 +130,10 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_language_id": op1_language_id,
         "op2_substring_dedup": op2_substring_dedup,
         "op3_bpe": op3_bpe,
+        "op4_ann": op4_ann,
         "op5_warc": op5_warc,
         "op6_html_text": op6_html_text,
         "op7_exact_dedup": op7_exact_dedup,
