@@ -72,6 +72,18 @@ def merge_runs(rows: DataFrame, fan_bits: int = FAN_BITS, rounds: int = ROUNDS)
     return merge(level, [])
 
 
+def _decided(rows: DataFrame, fan_bits: int, rounds: int) -> DataFrame:
+    """The staged rows of :func:`digests` with what the root says of their text."""
+    root = merge_runs(rows, fan_bits, rounds).select(
+        F.col("digest").alias(f"{P}d"),
+        F.col("size").alias(f"{P}s"),
+        "n",
+        "best",
+    )
+    same = (F.col("digest") == F.col(f"{P}d")) & (F.col("size") == F.col(f"{P}s"))
+    return rows.join(root, same)
+
+
 def exact_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -79,7 +91,7 @@ def exact_duplicates(
     fan_bits: int = FAN_BITS,
     rounds: int = ROUNDS,
 ) -> DataFrame:
-    """(id, keep_id, group_size, kept, text_sha256, points) for every row of ``docs``.
+    """(id, keep_id, group_size, kept, text_sha256) for every row of ``docs``.
 
     Texts are equal if they are identical without ASCII white space; null counts as empty.  Of
     equal texts the row with the most code points stays, then the smallest id; null ids come last,
@@ -87,45 +99,36 @@ def exact_duplicates(
     ``docs`` aren't read.
     """
     rows = staged(digests(docs, id_col, text_col), "digests")
-    root = merge_runs(rows, fan_bits, rounds).select(
-        F.col("digest").alias(f"{P}d"),
-        F.col("size").alias(f"{P}s"),
-        "n",
-        "best",
-    )
-    same = (F.col("digest") == F.col(f"{P}d")) & (F.col("size") == F.col(f"{P}s"))
-    return rows.join(root, same).select(
+    return _decided(rows, fan_bits, rounds).select(
         "id",
         F.col("best.id").alias("keep_id"),
         F.col("n").alias("group_size"),
         (F.col("row") == F.col("best.row")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
-        "points",
     )
 
 
 def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns.
 
-    Rows that agree in id, text length and normalised text are one row: one of them stays.
+    Rows that agree in id, text length and normalised text are one row: one of them stays.  Texts
+    are shuffled once, and again only if there are such rows.
     """
+    rows = staged(digests(docs, id_col, text_col), "digests")
+    key = ["id", "digest", "points"]
     stay = (
-        exact_duplicates(docs, id_col, text_col)
-        .where("kept")
-        .select(
-            F.col("id").alias(f"{P}id"),
-            F.unhex("text_sha256").alias(f"{P}digest"),
-            F.col("points").alias(f"{P}points"),
-        )
+        _decided(rows, FAN_BITS, ROUNDS)
+        .where(F.col("row") == F.col("best.row"))
+        .select(*(F.col(c).alias(f"{P}{c}") for c in key))
     )
+    again = rows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
     own = docs.withColumn(f"{P}own", F.unhex(F.sha2(normalised(F.col(text_col)), 256)))
     match = (
         F.col(id_col).eqNullSafe(F.col(f"{P}id"))
         & (F.col(f"{P}own") == F.col(f"{P}digest"))
         & (F.coalesce(F.length(text_col), F.lit(0)) == F.col(f"{P}points"))
     )
-    return (
-        own.join(stay, match, "left_semi")
-        .dropDuplicates([id_col, f"{P}own"])
-        .select(*(F.col(f"`{c}`") for c in docs.columns))
-    )
+    kept = own.join(stay, match, "left_semi")
+    if again:
+        kept = kept.dropDuplicates([id_col, f"{P}own"])
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))

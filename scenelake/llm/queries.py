@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -140,6 +141,7 @@ def queries() -> dict:
         "op8_packing": op8_packing,
         "op9_simhash": op9_simhash,
         "op10_licences": op10_licences,
+        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -166,3 +166,15 @@ def near_duplicates(
         "fp",
         F.when(F.col("id").isNotNull(), F.col(f"{P}c")).alias("component"),
     )
+
+
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` but for those whose component has a smaller id.
+
+    Rows with a null id stay.  If an id is repeated, its rows go only if none of them is the
+    smallest of its component.
+    """
+    found = near_duplicates(docs, id_col, text_col).where("id is not null")
+    gone = found.groupBy("id").agg(F.max("component").alias("m"))
+    gone = gone.where("m < id").select(F.col("id").alias(f"{P}gone"))
+    return docs.join(gone, F.col(id_col) == F.col(f"{P}gone"), "left_anti")

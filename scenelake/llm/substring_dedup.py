@@ -17,6 +17,7 @@ different windows are expected to be taken as equal.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scenelake.llm.common import P, shuffle_partitions
+from scenelake.llm.common import P, shuffle_partitions, total_chars
 
 WINDOW = 50
 #: Odd bases of the two polynomials modulo 2**64; powers are exact in wrapping arithmetic.
@@ -100,11 +101,11 @@ class _Chunk:
     docs: np.ndarray
 
     @classmethod
-    def of(cls, ids: list, words: list[list[bytes]], window: int, buckets: int) -> _Chunk:
+    def of(cls, ids: list, texts: pa.ChunkedArray, window: int, buckets: int) -> _Chunk:
         """Windows of rows with an id; rows without one take no part."""
         parts = [
-            window_hashes(word_hashes(w) if i is not None else np.empty(0, np.uint64), window, buckets)
-            for i, w in zip(ids, words)
+            window_hashes(word_hashes(w if i is not None else []), window, buckets)
+            for i, w in zip(ids, _words(texts))
         ]
         sizes = [len(h) for h, _ in parts]
         known = np.array([0 if i is None else i for i in ids], np.int64)
@@ -115,21 +116,29 @@ class _Chunk:
         )
 
 
-def _split(docs: DataFrame, id_col: str, text_col: str, bounds: list[int]) -> DataFrame:
-    """(chunk, id, text); the chunks are ranges of ids between ``bounds``."""
+_CHUNK, _ID, _TEXT = f"{P}chunk", f"{P}id", f"{P}text"
+
+
+def _split(docs: DataFrame, id_col: str, text_col: str, bounds: list[int], carried: list[str]) -> DataFrame:
+    """Chunk, id and text of each row, and the ``carried`` columns; chunks are ranges of ids."""
     at = np.array(bounds, np.int64)
+    own = docs.select(
+        F.lit(0).alias(_CHUNK),
+        F.col(id_col).cast("long").alias(_ID),
+        F.col(text_col).alias(_TEXT),
+        *(F.col(f"`{c}`") for c in carried),
+    )
 
     def batches(it):
         for batch in it:
-            ids = batch.column(0)
+            ids = batch.column(1)
             known = ids.fill_null(0).to_numpy(zero_copy_only=False)
             chunk = np.searchsorted(at, known, side="right").astype(np.int32)
             none = ids.is_null().to_numpy(zero_copy_only=False)
             chunk[none] = np.arange(none.sum()) % (len(at) + 1)  # any will do
-            yield pa.RecordBatch.from_arrays([pa.array(chunk), *batch.columns], names=["chunk", *batch.schema.names])
+            yield batch.set_column(0, _CHUNK, pa.array(chunk))
 
-    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return own.mapInArrow(batches, "chunk int, id long, text string")
+    return own.mapInArrow(batches, own.schema)
 
 
 def _bounds(docs: DataFrame, id_col: str, chunks: int) -> list[int]:
@@ -150,8 +159,7 @@ def _send(rows: DataFrame, window: int, buckets: int) -> DataFrame:
     """(bucket, chunk, hashes): the different window hashes of each chunk, sorted, by bucket."""
 
     def chunk(key, table):
-        ids, words = table["id"].to_pylist(), _words(table["text"])
-        own = _Chunk.of(ids, words, window, buckets)
+        own = _Chunk.of(table[_ID].to_pylist(), table[_TEXT], window, buckets)
         order = np.argsort(own.buckets, kind="stable")
         hashes = own.hashes[order]
         found, starts = np.unique(own.buckets[order], return_index=True)
@@ -166,7 +174,7 @@ def _send(rows: DataFrame, window: int, buckets: int) -> DataFrame:
             }
         )
 
-    return rows.groupBy("chunk").applyInArrow(chunk, _SENT)
+    return rows.groupBy(_CHUNK).applyInArrow(chunk, _SENT)
 
 
 def _told(sent: DataFrame) -> DataFrame:
@@ -197,9 +205,10 @@ def _told(sent: DataFrame) -> DataFrame:
     return sent.groupBy("bucket").applyInArrow(bucket, _SENT)
 
 
-def _words(texts: pa.ChunkedArray) -> list[list[bytes]]:
+def _words(texts: pa.ChunkedArray) -> Iterator[list[bytes]]:
     """Words of each text between ASCII white space; null has none."""
-    return [(t or b"").split() for t in texts.cast(pa.binary()).to_pylist()]
+    for text in texts.cast(pa.binary()):
+        yield (text.as_py() or b"").split()
 
 
 def covered(starts: np.ndarray, n_words: int, window: int) -> np.ndarray:
@@ -227,40 +236,38 @@ def _marked(own: _Chunk, told: np.ndarray) -> np.ndarray:
     return out
 
 
-def remove_repeats(
+def _removed(
     docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    window: int = WINDOW,
-    chunk_chars: int = CHUNK_CHARS,
-    bucket_windows: int = BUCKET_WINDOWS,
-    chars: int | None = None,
+    id_col: str,
+    text_col: str,
+    window: int,
+    chunk_chars: int,
+    bucket_windows: int,
+    carried: list[str],
 ) -> DataFrame:
-    """(id, n_words, n_removed, kept, spans) for every row of ``docs``.
-
-    A word is removed if a window that covers it has the same words as a window that starts in a
-    document with a smaller id; all windows are judged on the input.  ``kept`` joins the words
-    left by one space; ``spans`` lists the removal intervals as [first word, end).  Null texts
-    have no words and give the empty string.  Rows with a null id lose nothing and take nothing
-    from others; rows of equal id don't affect each other; an empty table gives no rows; other
-    columns aren't read.
-    """
+    """The carried columns, then id, n_words, n_removed, kept and spans with scratch names."""
     spark = docs.sparkSession
-    if chars is None:
-        chars = docs.agg(F.sum(F.length(text_col).cast("long"))).first()[0] or 0
+    chars = total_chars(docs, text_col)
     chunks = max(shuffle_partitions(spark), math.ceil(chars / chunk_chars))
     buckets = max(4 * shuffle_partitions(spark), math.ceil(chars / 6 / bucket_windows))
-    rows = _split(docs, id_col, text_col, _bounds(docs, id_col, chunks))
+    rows = _split(docs, id_col, text_col, _bounds(docs, id_col, chunks), carried)
     told = _told(_send(rows, window, buckets))
+    arrow = [
+        ("id", pa.int64()),
+        ("n_words", pa.int64()),
+        ("n_removed", pa.int64()),
+        ("kept", pa.string()),
+        ("spans", pa.list_(pa.list_(pa.int64()))),
+    ]
 
     def chunk(key, ours, theirs):
-        ids, words = ours["id"].to_pylist(), _words(ours["text"])
-        own = _Chunk.of(ids, words, window, buckets)
+        ids = ours[_ID].to_pylist()
+        own = _Chunk.of(ids, ours[_TEXT], window, buckets)
         told = [np.frombuffer(h, np.uint64) for h in theirs["hashes"].to_pylist()]
         marks = _marked(own, np.concatenate(told or [np.empty(0, np.uint64)]))
-        out = {k: [] for k in ("id", "n_words", "n_removed", "kept", "spans")}
+        out = {k: [] for k, _ in arrow}
         at = 0
-        for i, w in zip(ids, words):
+        for i, w in zip(ids, _words(ours[_TEXT])):
             n = len(w) - window + 1 if i is not None and len(w) >= window else 0
             gone = covered(marks[at : at + n], len(w), window) if n else np.zeros(len(w), bool)
             at += n
@@ -268,46 +275,56 @@ def remove_repeats(
             out["id"].append(i)
             out["n_words"].append(len(w))
             out["n_removed"].append(int(gone.sum()))
+            out["spans"].append(edges.reshape(-1, 2).tolist())
             if len(edges):
                 left = [0, *edges.tolist(), len(w)]
                 w = [x for a, b in zip(left[::2], left[1::2]) for x in w[a:b]]
-            out["kept"].append(b" ".join(w))
-            out["spans"].append(edges.reshape(-1, 2).tolist())
-        kept = pa.array(out["kept"], pa.binary()).cast(pa.string())
-        spans = pa.array(out["spans"], pa.list_(pa.list_(pa.int64())))
-        return pa.table(
-            {
-                "id": pa.array(out["id"], pa.int64()),
-                "n_words": pa.array(out["n_words"], pa.int64()),
-                "n_removed": pa.array(out["n_removed"], pa.int64()),
-                "kept": kept,
-                "spans": spans,
-            }
-        )
+            out["kept"].append(b" ".join(w).decode())
+        new = {f"{P}{k}": pa.array(out[k], kind) for k, kind in arrow}
+        return pa.table({c: ours[c] for c in carried} | new)
 
     schema = T.StructType(
-        [
-            T.StructField("id", T.LongType()),
-            T.StructField("n_words", T.LongType()),
-            T.StructField("n_removed", T.LongType()),
-            T.StructField("kept", T.StringType()),
-            T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType()))),
+        [docs.schema[c] for c in carried]
+        + [
+            T.StructField(f"{P}id", T.LongType()),
+            T.StructField(f"{P}n_words", T.LongType()),
+            T.StructField(f"{P}n_removed", T.LongType()),
+            T.StructField(f"{P}kept", T.StringType()),
+            T.StructField(f"{P}spans", T.ArrayType(T.ArrayType(T.LongType()))),
         ]
     )
-    return rows.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(chunk, schema)
+    return rows.groupBy(_CHUNK).cogroup(told.groupBy("chunk")).applyInArrow(chunk, schema)
+
+
+def remove_repeats(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    window: int = WINDOW,
+    chunk_chars: int = CHUNK_CHARS,
+    bucket_windows: int = BUCKET_WINDOWS,
+) -> DataFrame:
+    """(id, n_words, n_removed, kept, spans) for every row of ``docs``.
 
+    A word is removed if a window that covers it has the same words as a window that starts in a
+    document with a smaller id; all windows are judged on the input.  ``kept`` joins the words
+    left by one space; ``spans`` lists the removal intervals as [first word, end).  Null texts
+    have no words and give the empty string.  Rows with a null id lose nothing and take nothing
+    from others; rows of equal id don't affect each other; an empty table gives no rows; other
+    columns aren't read.
+    """
+    found = _removed(docs, id_col, text_col, window, chunk_chars, bucket_windows, [])
+    return found.select(*(F.col(f"{P}{c}").alias(c) for c in ("id", "n_words", "n_removed", "kept", "spans")))
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """``docs`` with its other columns, and with the words left as its text.
 
-    Texts that lose nothing stay as they are; texts that lose every word become empty.  The key of
-    the join back is the id with the text itself, so repeated ids are told apart.
+def without_repeats(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW
+) -> DataFrame:
+    """``docs`` with all its rows and columns, and with the words left as its text.
+
+    Texts that lose nothing stay as they are, null ones too; texts that lose every word become
+    empty.  The rules are those of :func:`remove_repeats`.
     """
-    shorter = (
-        remove_repeats(docs, id_col, text_col, window)
-        .where("n_removed > 0")
-        .select(F.col("id").alias(f"{P}id"), F.col("kept").alias(f"{P}kept"))
-    )
-    joined = docs.join(shorter, F.col(id_col) == F.col(f"{P}id"), "left")
-    new = F.coalesce(F.col(f"{P}kept"), F.col(text_col))
-    return joined.select(*(new.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))
+    found = _removed(docs, id_col, text_col, window, CHUNK_CHARS, BUCKET_WINDOWS, docs.columns)
+    new = F.when(F.col(f"{P}n_removed") > 0, F.col(f"{P}kept")).otherwise(F.col(text_col))
+    return found.select(*(new.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))
