@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from scenelake.plans import kinematics
+
 FLAGSHIP = "speed_summary"
+_MODULES = (kinematics,)
+_ALL = {name: pair for module in _MODULES for name, pair in module.QUERIES.items()}
 
 
 def queries() -> dict:
-    return {}
+    return {name: run for name, (run, _) in _ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _ALL.items() if sql}
