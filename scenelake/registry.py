@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from scenelake.plans import kinematics
+from scenelake.plans import kinematics, pairs
 
 FLAGSHIP = "speed_summary"
-_MODULES = (kinematics,)
+_MODULES = (kinematics, pairs)
 _ALL = {name: pair for module in _MODULES for name, pair in module.QUERIES.items()}
 
 
