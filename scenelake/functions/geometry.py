@@ -14,6 +14,11 @@ def dist(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
     return F.sqrt((ax - bx) * (ax - bx) + (ay - by) * (ay - by))
 
 
+def exact_mean(x: Column, digits: int = 6) -> Column:
+    """Mean of values with so many decimals, by integer sums: the same in every order."""
+    return F.sum(F.round(x * 10**digits).cast("long")) / F.count(x) / F.lit(float(10**digits))
+
+
 def norm(x: Column, y: Column) -> Column:
     return F.sqrt(x * x + y * y)
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from scenelake.plans import kinematics, pairs
+from scenelake.plans import kinematics, lanes, pairs, scoring
 
-FLAGSHIP = "speed_summary"
-_MODULES = (kinematics, pairs)
+FLAGSHIP = "scene_scores"
+_MODULES = (kinematics, pairs, lanes, scoring)
 _ALL = {name: pair for module in _MODULES for name, pair in module.QUERIES.items()}
 
 
