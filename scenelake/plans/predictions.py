@@ -96,7 +96,7 @@ def soft_collision_cost(spark: SparkSession, d: str) -> DataFrame:
     t = world.truths(spark, d).select(F.col("object_id").alias("other"), F.col("tx").alias("ox"), F.col("ty").alias("oy"), F.floor(F.col("object_id") / 32).alias("block"))
     c = m.join(t, "block").where("object_id <> other").groupBy("object_id", "mode", "fde").agg(F.sum(F.exp(-dist(F.col("x"), F.col("y"), F.col("ox"), F.col("oy")))).alias("s"))
     c = c.withColumn("cost", F.round(100 * F.col("s") + F.col("fde"), 6))
-    return rounded(pr.best_by(c, "cost", "mode"), "cost")
+    return pr.best_by(c, "cost", "mode")
 
 
 def model_correlation(spark: SparkSession, d: str) -> DataFrame:
@@ -152,7 +152,7 @@ QUERIES = {
     "softmax_modes": (softmax_modes, f"{_M}, q AS (SELECT *, exp((score - max(score) OVER (PARTITION BY object_id))/10000) AS e FROM modes) SELECT object_id, mode, round(e/sum(e) OVER (PARTITION BY object_id),6) AS p FROM q"),
     "nms_endpoints": (nms_endpoints, f"""WITH RECURSIVE {SQL_MODES}, a AS (SELECT object_id, list({{'s': -score, 'mode': mode, 'x': x, 'y': y}} ORDER BY -score, mode) AS m, list(score ORDER BY -score, mode) AS v FROM modes GROUP BY 1),
         r AS (SELECT object_id, m, v, 0 AS n, CAST(NULL AS BIGINT) AS pick FROM a UNION ALL
-          SELECT object_id, m, list_transform(v, (z, i) -> CASE WHEN i = p THEN -1.0::double WHEN z > 0 AND sqrt((m[i].x-m[p].x)*(m[i].x-m[p].x) + (m[i].y-m[p].y)*(m[i].y-m[p].y)) < 2.5 THEN 0.0::double ELSE z END), n+1, p
+          SELECT object_id, m, list_transform(v, lambda z, i: CASE WHEN i = p THEN -1.0::double WHEN z > 0 AND sqrt((m[i].x-m[p].x)*(m[i].x-m[p].x) + (m[i].y-m[p].y)*(m[i].y-m[p].y)) < 2.5 THEN 0.0::double ELSE z END), n+1, p
           FROM (SELECT *, list_position(v, list_max(v)) AS p FROM r WHERE n < least(6, len(m))))
         SELECT object_id, n-1 AS rank, m[pick].mode AS mode FROM r WHERE n > 0"""),
     "ade_by_type": (ade_by_type, f"{_B} SELECT object_type, count(*) AS n, {sql_r4('avg(m)','min_fde')} FROM best GROUP BY 1"),
@@ -164,7 +164,7 @@ QUERIES = {
     "metric_rollup": (metric_rollup, f"""{_B}, t AS (SELECT object_type, avg(m) AS m FROM best GROUP BY 1) SELECT 'All' AS "group", {sql_r4('avg(m)','min_fde')} FROM t UNION ALL SELECT CASE WHEN object_type='TYPE_VEHICLE' THEN 'Vehicle' ELSE 'NonVehicle' END, {sql_r4('avg(m)','min_fde')} FROM t GROUP BY 1"""),
     "val_test_delta": (val_test_delta, f"{_B}, p AS (SELECT object_type, avg(m) FILTER (object_id%10<3) AS val, avg(m) FILTER (object_id%10>=3) AS test FROM best GROUP BY 1) SELECT object_type, {sql_r4('val','val')}, {sql_r4('test','test')}, {sql_r4('(test-val)/val','change')} FROM p"),
     "soft_collision_cost": (soft_collision_cost, f"""{_E}, c AS (SELECT e.object_id, e.mode, round(100*sum(exp(-{sql_norm('e.x-t.tx','e.y-t.ty')})) + e.fde, 6) AS cost FROM err e JOIN truths t ON e.object_id//32=t.object_id//32 AND e.object_id<>t.object_id GROUP BY e.object_id, e.mode, e.fde)
-        SELECT object_id, {sql_r4('cost','cost')}, mode FROM c QUALIFY row_number() OVER (PARTITION BY object_id ORDER BY cost, mode)=1"""),
+        SELECT object_id, cost, mode FROM c QUALIFY row_number() OVER (PARTITION BY object_id ORDER BY cost, mode)=1"""),
     "model_correlation": (model_correlation, f"{_E}, e AS (SELECT object_id, model_id, min(fde) AS e FROM err GROUP BY 1,2) SELECT a.model_id, b.model_id AS model_b, {sql_r4('corr(a.e,b.e)','r')}, count(*) AS n FROM e a JOIN e b ON a.object_id=b.object_id AND a.model_id<b.model_id GROUP BY 1,2"),
     "confidence_error_corr": (confidence_error_corr, f"{_E} SELECT {sql_r4('corr(score,fde)','r')}, count(*) AS n FROM err"),
     "model_cluster_choice": (model_cluster_choice, f"{_E}, a AS (SELECT object_id%7 AS cluster, model_id, round(avg(fde),6) AS m FROM err GROUP BY 1,2) SELECT cluster, model_id, {sql_r4('m','mean_fde')} FROM a QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY m, model_id)=1"),
