@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from scenelake.plans import kinematics, lanes, pairs, predictions, scoring
+from scenelake.plans import kinematics, lanes, pairs, predictions, primitives, scoring
 
 FLAGSHIP = "scene_scores"
-_MODULES = (kinematics, pairs, lanes, scoring, predictions)
+_MODULES = (kinematics, pairs, lanes, scoring, predictions, primitives)
 _ALL = {name: pair for module in _MODULES for name, pair in module.QUERIES.items()}
 
 
