@@ -33,10 +33,10 @@ WINDOW = 50
 #: Odd bases of the two polynomials modulo 2**64; powers are exact in wrapping arithmetic.
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 #: Characters of text in a chunk, and windows in a bucket, at most by expectation.
-CHUNK_CHARS = 8_000_000
+CHUNK_CHARS = 4_000_000
 BUCKET_WINDOWS = 500_000
 #: Words whose hashes a worker remembers.
-_REMEMBERED = 1_000_000
+_REMEMBERED = 300_000
 
 
 class _WordHashes(dict):
@@ -57,7 +57,8 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i below n at least; odd numbers have inverses."""
     if base not in _POWERS or len(_POWERS[base][0]) < n:
         size = 1 << max(12, n.bit_length())
-        factors = np.full((2, size), [[base], [pow(base, -1, 1 << 64)]], np.uint64)
+        pair = np.array([[base], [pow(base, -1, 1 << 64)]], np.uint64)  # typed: else it becomes float
+        factors = np.repeat(pair, size, axis=1)
         factors[:, 0] = 1
         _POWERS[base] = tuple(np.cumprod(factors, axis=1))
     return _POWERS[base]
