@@ -30,7 +30,7 @@ def _tokens(docs: DataFrame, path: str, id_col: str, text_col: str, end_id: int)
         own, part, at = encoder(path), TaskContext.get().partitionId(), 0
         for batch in it:
             for rows in slices(batch):
-                ids = [i + end for i in own.encode(utf8(rows.column(1)))]
+                ids = [i + end for i in own.encode_whole(utf8(rows.column(1)))]
                 n = np.array([len(i) // 4 for i in ids], np.int64)
                 ends = at + np.cumsum(n)
                 yield pa.RecordBatch.from_arrays(
