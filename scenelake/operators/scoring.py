@@ -72,7 +72,7 @@ def scene_score(agents: DataFrame) -> DataFrame:
 
 def hash_bucket(key: Column, buckets: int = 100) -> Column:
     """A bucket that depends on the key alone: integer arithmetic, the same everywhere."""
-    return F.pmod(key * 2654435761 + 40503, F.lit(1 << 31)) % buckets
+    return F.pmod(F.pmod(key, F.lit(1 << 31)) * 2654435761 + 40503, F.lit(1 << 31)) % buckets
 
 
 def score_split(scores: DataFrame, percent: float = 0.8) -> DataFrame:

@@ -9,12 +9,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scenelake.functions.geometry import dist
+from scenelake.operators import grouped
 from scenelake.operators import kinematics as k
+from scenelake.operators import lanes as ln
 from scenelake.operators import primitives as pm
 from scenelake.plans.helpers import r4, rounded, sql_norm, sql_r4
 from scenelake.plans.kinematics import SQL_MOVING
 from scenelake.plans.lanes import SQL_NEAR, SQL_ROAD, SQL_SEG, _at, _near
-from scenelake.operators import lanes as ln
 from scenelake.sources import world
 from scenelake.sources.world import SQL_LANES, SQL_POINTS, SQL_TRACKS
 from scenelake.streaming import files
@@ -193,6 +194,18 @@ def event_sessions(spark: SparkSession, d: str) -> DataFrame:
     return s.groupBy("user_id").agg(F.count("*").alias("n_sessions"), F.max("n").alias("longest"))
 
 
+def lane_sequence_search(spark: SparkSession, d: str) -> DataFrame:
+    return grouped.lane_sequences(ln.activity(_near(spark, d)))
+
+
+def kmeans_mode_ensemble(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(grouped.ensemble_modes(world.modes(spark, d)), "x", "y", "share")
+
+
+def ward_bounded(spark: SparkSession, d: str) -> DataFrame:
+    return grouped.ward_scenes(_ends(spark, d))
+
+
 _S = f"WITH {SQL_TRACKS}"
 _SM = f"WITH {SQL_TRACKS},{SQL_MOVING}"
 SQL_STATES = """
@@ -240,6 +253,9 @@ QUERIES = {
         SELECT m.scenario_id, count(DISTINCT CASE WHEN m.agent_id%10<=5 THEN m.agent_id END) AS n_vehicle, count(DISTINCT CASE WHEN m.agent_id%10 IN (6,7) THEN m.agent_id END) AS n_pedestrian, count(DISTINCT CASE WHEN m.agent_id%10>=8 THEN m.agent_id END) AS n_cyclist,
         {sql_r4('max(d)','max_d')}, {sql_r4('avg(speed)','mean_speed')}, {sql_r4('stddev_pop(speed)','std_speed')}, {sql_r4('max(speed)','max_speed')} FROM moving m JOIN d ON d.scenario_id=m.scenario_id AND d.agent_id=m.agent_id AND d.t=m.t GROUP BY 1"""),
     "change_points_cubic": (change_points_cubic, None),
+    "lane_sequence_search": (lane_sequence_search, None),
+    "kmeans_mode_ensemble": (kmeans_mode_ensemble, None),
+    "ward_bounded": (ward_bounded, None),
     "kmeans_endpoints": (kmeans_endpoints, None),
     "pca_variance": (pca_variance, None),
     "stream_available_now": (stream_available_now, "SELECT event_id, user_id, value FROM events WHERE event_type = 'purchase'"),
