@@ -23,10 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where that is unset (tests on one machine), a temporary folder is set once per session.
+    Where that is unset in local mode (tests), a temporary folder is set once per session; on a
+    cluster it is an error, as other machines wouldn't see such a folder.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         found = f"file://{tempfile.mkdtemp(prefix='scenelake-')}"
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
