@@ -180,7 +180,11 @@ def pca_variance(spark: SparkSession, d: str) -> DataFrame:
 
 def stream_available_now(spark: SparkSession, d: str) -> DataFrame:
     """Purchases of each file of ``events`` that is new, written by a stream that stops by itself."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='scenelake-')}"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        base = f"file://{tempfile.mkdtemp(prefix='scenelake-')}"
     sink, log = (f"{base}/stream-{uuid.uuid4().hex}/{n}" for n in ("sink", "log"))
     schema = world.table(spark, d, "events").schema
     keep = lambda s: s.where("event_type = 'purchase'").select("event_id", "user_id", "value")
