@@ -12,6 +12,7 @@ from scenelake.functions.geometry import dist
 from scenelake.operators import grouped
 from scenelake.operators import kinematics as k
 from scenelake.operators import lanes as ln
+from scenelake.operators import pairs as pr
 from scenelake.operators import primitives as pm
 from scenelake.plans.helpers import r4, rounded, sql_norm, sql_r4
 from scenelake.plans.kinematics import SQL_MOVING
@@ -73,6 +74,15 @@ def anomaly_weighted(spark: SparkSession, d: str) -> DataFrame:
     return every.join(g, A, "left").select(*A, r4("anomaly", F.coalesce("a", F.lit(0.0))))
 
 
+def pair_anomaly(spark: SparkSession, d: str) -> DataFrame:
+    """The greater anomaly of the two agents of each pair."""
+    a = anomaly_weighted(spark, d)
+    i, j = (a.select("scenario_id", F.col("agent_id").alias(n), F.col("anomaly").alias(f"a{n}")) for n in "ij")
+    pairs = pr.unordered(world.tracks(spark, d))
+    both = pairs.join(i, ["scenario_id", "i"], "left").join(j, ["scenario_id", "j"], "left")
+    return both.select(*pr.PAIR, F.greatest("ai", "aj").alias("anomaly"))
+
+
 def medoid(spark: SparkSession, d: str) -> DataFrame:
     """The endpoint of each scenario with the least mean distance to the others."""
     e = _ends(spark, d)
@@ -238,6 +248,9 @@ QUERIES = {
     "lloyd_fixed_iters": (lloyd_fixed_iters, f"{_E}, c0 AS (SELECT CAST(row_number() OVER (ORDER BY agent_id)-1 AS INT) AS k, x AS cx, y AS cy FROM ends ORDER BY agent_id LIMIT 4), {_assign('c0','a0')}, {_means('a0','c1')}, {_assign('c1','a1')}, {_means('a1','c2')}, {_assign('c2','a2')} SELECT agent_id, k, dist FROM a2"),
     "anomaly_weighted": (anomaly_weighted, f"""{_R}, l AS (SELECT scenario_id, agent_id, "end"-start AS len, abs(state-1.5::double)*("end"-start) AS d FROM runs WHERE "end"-start >= 5), g AS (SELECT scenario_id, agent_id, sum(d*len)/sum(len)/sqrt(303.0::double) AS a FROM l GROUP BY 1,2)
         SELECT e.scenario_id, e.agent_id, {sql_r4('coalesce(a,0)','anomaly')} FROM (SELECT DISTINCT scenario_id, agent_id FROM tracks) e LEFT JOIN g USING (scenario_id, agent_id)"""),
+    "pair_anomaly": (pair_anomaly, f"""{_R}, l AS (SELECT scenario_id, agent_id, "end"-start AS len, abs(state-1.5::double)*("end"-start) AS d FROM runs WHERE "end"-start >= 5), g AS (SELECT scenario_id, agent_id, sum(d*len)/sum(len)/sqrt(303.0::double) AS a FROM l GROUP BY 1,2),
+        e AS (SELECT scenario_id, agent_id, {sql_r4('coalesce(a,0)','a')} FROM (SELECT DISTINCT scenario_id, agent_id FROM tracks) LEFT JOIN g USING (scenario_id, agent_id))
+        SELECT x.scenario_id, x.agent_id AS i, y.agent_id AS j, greatest(x.a, y.a) AS anomaly FROM e x JOIN e y ON x.scenario_id=y.scenario_id AND x.agent_id<y.agent_id"""),
     "medoid": (medoid, f"{_E}, m AS (SELECT a.scenario_id, a.agent_id, round(avg({sql_norm('a.x-b.x','a.y-b.y')}),6) AS mean_d FROM ends a JOIN ends b ON a.scenario_id=b.scenario_id AND a.agent_id<>b.agent_id GROUP BY 1,2) SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY scenario_id ORDER BY mean_d, agent_id)=1"),
     "silhouette_from_distance": (silhouette_from_distance, f"""{_E}, l AS (SELECT *, CASE WHEN agent_id%10<=5 THEN 0 WHEN agent_id%10<=7 THEN 1 ELSE 2 END AS k FROM ends), m AS (SELECT a.agent_id, a.k, b.k AS ok, avg({sql_norm('a.x-b.x','a.y-b.y')}) AS m FROM l a JOIN l b ON a.scenario_id=b.scenario_id AND a.agent_id<>b.agent_id GROUP BY 1,2,3),
         s AS (SELECT agent_id, min(m) FILTER (k=ok) AS a, min(m) FILTER (k<>ok) AS b FROM m GROUP BY 1 HAVING a IS NOT NULL AND b IS NOT NULL) SELECT agent_id, {sql_r4('a','a')}, {sql_r4('b','b')}, {sql_r4('(b-a)/nullif(greatest(a,b),0)','s')} FROM s"""),

@@ -90,6 +90,14 @@ def asym_pair_rekey(spark: SparkSession, d: str) -> DataFrame:
     return sc.asym(fe, gt).select(*p.PAIR, "side0", "side1", F.greatest("gt", "side0").alias("asym_combined"))
 
 
+def asym_ratio(spark: SparkSession, d: str) -> DataFrame:
+    """Sum of each agent's one-sided pair scores over the sum of its symmetric ones."""
+    s = asym_pair_rekey(spark, d)
+    gt = F.greatest("side0", "side1").alias("gt")
+    both = s.select("scenario_id", F.col("i").alias("agent_id"), F.col("side0").alias("own"), gt).union(s.select("scenario_id", F.col("j"), "side1", gt))
+    return both.groupBy(*A).agg(r4("ratio", F.try_divide(F.sum("own"), F.sum("gt"))))
+
+
 def cluster_split(spark: SparkSession, d: str) -> DataFrame:
     """Scenes of clusters 0 and 3 (of 5) go to test, others to train and val."""
     s = world.tracks(spark, d).select("scenario_id").distinct().withColumn("cluster", F.col("scenario_id") % 5)
@@ -190,6 +198,9 @@ QUERIES = {
     "asym_pair_rekey": (asym_pair_rekey, f"""WITH {SQL_TRACKS},{SQL_MOVING}, h AS (SELECT a.scenario_id, a.agent_id AS i, b.agent_id AS j, round(least(2, 1/min({sql_norm('a.x-b.x','a.y-b.y')}/(a.speed+0.0001::double))),4) AS s
           FROM moving a JOIN moving b ON a.scenario_id=b.scenario_id AND a.t=b.t AND a.agent_id<>b.agent_id AND a.valid AND b.valid GROUP BY 1,2,3)
         SELECT x.scenario_id, x.i, x.j, x.s AS side0, y.s AS side1, greatest(x.s, x.s) AS asym_combined FROM h x JOIN h y ON x.scenario_id=y.scenario_id AND x.i=y.j AND x.j=y.i AND x.i<x.j"""),
+    "asym_ratio": (asym_ratio, f"""WITH {SQL_TRACKS},{SQL_MOVING}, h AS (SELECT a.scenario_id, a.agent_id AS i, b.agent_id AS j, round(least(2, 1/min({sql_norm('a.x-b.x','a.y-b.y')}/(a.speed+0.0001::double))),4) AS s
+          FROM moving a JOIN moving b ON a.scenario_id=b.scenario_id AND a.t=b.t AND a.agent_id<>b.agent_id AND a.valid AND b.valid GROUP BY 1,2,3)
+        SELECT x.scenario_id, x.i AS agent_id, {sql_r4('sum(x.s)/nullif(sum(greatest(x.s, y.s)),0)','ratio')} FROM h x JOIN h y ON x.scenario_id=y.scenario_id AND x.i=y.j AND x.j=y.i GROUP BY 1,2"""),
     "cluster_split": (cluster_split, f"WITH {SQL_TRACKS}, s AS (SELECT DISTINCT scenario_id, scenario_id%5 AS cluster FROM tracks) SELECT *, CASE WHEN cluster IN (0,3) THEN 'test' WHEN {_hb('scenario_id')} < 80 THEN 'train' ELSE 'val' END AS split FROM s"),
     "uniform_split": (uniform_split, f"SELECT o_orderkey AS scenario_id, CASE WHEN {_hb('o_orderkey','1000')} < 850 THEN 'train' WHEN {_hb('o_orderkey','1000')} < 925 THEN 'val' ELSE 'test' END AS split FROM orders"),
     "stride_sample": (stride_sample, f"{_NUM} SELECT id, rn FROM n WHERE rn % 7 = 0"),
