@@ -4,8 +4,9 @@ Every input partition is a run: its rows are aggregated by digest where they wer
 digest, one entry for each).  Runs are then exchanged in binomial rounds: run ``r`` of a round
 goes to merge group ``r >> fan_bits`` of the next, and the entries that meet there are sorted and
 merged.  Each entry keeps the row count and the row that stays; equal digests are verified by the
-length of the normalised text at every level.  The last round has one entry for each digest.  A
-hot text thus costs one entry for each run, however many copies it has.
+length of the normalised text at every level.  The last round has one entry for each digest.  What
+it says goes back to the runs first and from there to their rows.  A hot text thus costs one entry
+for each run, however many copies it has, and its copies are joined run by run.
 """
 
 from __future__ import annotations
@@ -45,43 +46,48 @@ def digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def merge_runs(rows: DataFrame, fan_bits: int = FAN_BITS, rounds: int = ROUNDS) -> DataFrame:
-    """(digest, size, n, best): the root of the merge tree over ``rows`` of :func:`digests`."""
+def _merge(entries: DataFrame, keys: list[str]) -> DataFrame:
+    return entries.groupBy("digest", "size", *keys).agg(F.sum("n").alias("n"), F.min("best").alias("best"))
+
+
+def _run() -> Column:
+    return F.shiftright("row", _PARTITION_BIT)
+
+
+def sorted_runs(rows: DataFrame) -> DataFrame:
+    """(digest, size, run, n, best): the entries of every partition of ``rows`` of :func:`digests`."""
     order = F.struct(
         (-F.col("points")).alias("points"), F.col("id").isNull().alias("no_id"), "id", "row"
     )
     level = rows.select(
         "digest",
         "size",
-        F.shiftright("row", _PARTITION_BIT).alias("run"),
+        _run().alias("run"),
         F.lit(1).cast("long").alias("n"),
         order.alias("best"),
     )
+    return _merge(level, ["run"])
 
-    def merge(df: DataFrame, keys: list[str]) -> DataFrame:
-        return df.groupBy("digest", "size", *keys).agg(
-            F.sum("n").alias("n"), F.min("best").alias("best")
-        )
 
-    level = merge(level, ["run"])
+def merge_runs(runs: DataFrame, fan_bits: int = FAN_BITS, rounds: int = ROUNDS) -> DataFrame:
+    """(digest, size, n, best): the root of the merge tree over :func:`sorted_runs`."""
     level = reduce(
-        lambda df, _: merge(df.withColumn("run", F.shiftright("run", fan_bits)), ["run"]),
+        lambda df, _: _merge(df.withColumn("run", F.shiftright("run", fan_bits)), ["run"]),
         range(rounds),
-        level,
+        runs,
     )
-    return merge(level, [])
+    return _merge(level, [])
 
 
 def _decided(rows: DataFrame, fan_bits: int, rounds: int) -> DataFrame:
     """The staged rows of :func:`digests` with what the root says of their text."""
-    root = merge_runs(rows, fan_bits, rounds).select(
-        F.col("digest").alias(f"{P}d"),
-        F.col("size").alias(f"{P}s"),
-        "n",
-        "best",
+    runs = sorted_runs(rows)
+    root = merge_runs(runs, fan_bits, rounds).select(
+        F.col("digest").alias(f"{P}d"), F.col("size").alias(f"{P}s"), "n", "best"
     )
     same = (F.col("digest") == F.col(f"{P}d")) & (F.col("size") == F.col(f"{P}s"))
-    return rows.join(root, same)
+    back = runs.select("digest", "size", "run").join(root, same).select("digest", "size", "run", "n", "best")
+    return rows.withColumn("run", _run()).join(back, ["digest", "size", "run"])
 
 
 def exact_duplicates(
