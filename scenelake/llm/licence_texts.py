@@ -62,6 +62,41 @@ LICENCES = [
     ("Unlicense", _UNLICENSE),
 ]
 
+#: (licence, digest of the canonical form) of long texts; those with "terms" end at END OF TERMS AND CONDITIONS,
+#: without the appendix.  Texts that several licences share go by the "only" one.
+DIGESTS = [
+    # Apache's own layout, then SPDX's; whole, with the owner filled in, terms
+    ("Apache-2.0", "93651fc3b3c9c21033cf07999bdb593e0138192678d4743ddf7ee126fefab052"),
+    ("Apache-2.0", "f92c423b6d6da66caa78abd6f49f73f5bc8715dca82e1a73f62d1e6eec41986c"),
+    ("Apache-2.0", "09ad3868555dada25cbf24199409a8c1e39fe8ef08d164adc6e98c1d02767793"),
+    ("Apache-2.0", "e432e8e898c1e8c7b0aa4469211a67b133181d028edc178e68260a1bd607da6c"),
+    ("Apache-2.0", "4ce775adc5eb2174f29d3108af3a9370e9699c3247713e6641d0ff8f355e79ac"),
+    ("Apache-2.0", "ad487f4222d1dfb8a99d8a7dde283b408d93df794d074b3c92fe9efbe772be32"),
+    # Debian's copies: whole, terms; then SPDX's: whole, terms
+    ("GPL-1.0-only", "37f380f152339f34a15db620545eb53f0b5c7d9e6a9542aa09ed0d22f186920f"),
+    ("GPL-1.0-only", "3b5b36de4a3801680b9eb44e80739b3aeb71c4bf6ca623ee5f87b2e2b03d3ed9"),
+    ("GPL-2.0-only", "ae2be2aaa68f5e52ef402874fc8c7c691879b445cb12e49d84f88168cc2d7dd6"),
+    ("GPL-2.0-only", "a76cc6ce70778ba70e43b9b1838f9e3f88b3fc7c5acbb3b8a9847918003b63e0"),
+    ("GPL-2.0-only", "0c64ee746791150d3c6210d29a2984d92afca30fa433f834ca884a3002b96384"),
+    ("GPL-2.0-only", "a692f1cb3097cff45a40a996ead5dd80162238fb68187fdcd1a02eb56656e007"),
+    ("GPL-3.0-only", "42b67f6c2a10d2b6cb4c48a2c1a454953ad6d664174e0493c9d92e45feb4b408"),
+    ("GPL-3.0-only", "158302bba42ffffd9ebd468b95aca480c990d662430ac44bb2edba378ebeb545"),
+    ("GPL-3.0-only", "719567f94c59314608007f0c51247c578702bae1919b3a2410889832649a72d8"),
+    ("GPL-3.0-only", "4a9083dfa89bea4f460e373a4c7a4645205d5e3d3be775d544b10357e357f57b"),
+    ("LGPL-2.0-only", "bea988245c65edbddad6f43ff12ca2472c232324e916d42648b90eac944d833e"),
+    ("LGPL-2.0-only", "7d5246cc24a9d78fffd01a07fbc2e71edd1e94ad8d403f3180a4cf5fef43d389"),
+    ("LGPL-2.1-only", "ed875dac9045cba09a17867210991f3a4a82f80b82096b054560a3a8dae9d692"),
+    ("LGPL-2.1-only", "65484d3c9f900f96945bd4e6c5397aaa24f93bdc8f720eae06fbd377c62cfe97"),
+    # whole
+    ("LGPL-3.0-only", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "fcb579371133afd771fed87cd5d8c6dc5648746c9945d4adf08ec5c79aba5c61"),
+    ("MPL-2.0", "95f6a0d094cf3da6a140310541c7b576789031b600469b70877b34f97918e4c9"),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("CC-BY-SA-4.0", "03d8a3b9c6db6790c3520a25812373d89c7f2a005ef01b18a0abcd015657a456"),
+    ("GFDL-1.2-only", "66919c3537107c2c9f5219f6ba4c41fe9c0d7c14d885087e3db69494463a778e"),
+    ("GFDL-1.3-only", "525fd4384869c81c4cbd264822942ae15202284aed28fb120ba01fc119dda9ff"),
+]
+
 #: (licence, entire line); each names the word license, which the scan relies on.
 NOTICES = [
     ("MIT", "Released under the MIT License."),

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scenelake.llm.licence_texts import LICENCES, NOTICES
+from scenelake.llm.licence_texts import DIGESTS, LICENCES, NOTICES
 
 #: Lines that only state a copyright, after a possible comment sign, in small letters.
 COPYRIGHT_LINE = r"(?m)^[^a-z0-9\n]*(?:copyright [(]c[)]|copyright [0-9]|copyright ©|[(]c[)] |©|all rights reserved)[^\n]*$"
@@ -33,6 +33,8 @@ SPELLINGS = [
     ("copyright holder", "copyright owner"),
     ("https://", "http://"),
 ]
+#: A line that says nothing else, in small letters.
+RESERVED_LINE = r"(?m)^[^a-z0-9\n]*all rights reserved[^a-z0-9\n]*$"
 #: What isn't a small letter, a digit or a character beyond ASCII.
 PUNCTUATION = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -50,19 +52,23 @@ def _digest(text: Column) -> Column:
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, digest, licence, notices, n_notice_lines) for every row of ``docs``.
+    """(id, digest, licence, notices, n_notice_lines, n_reserved_lines) for every row of ``docs``.
 
     ``licence`` is the known licence that the entire text is, else null; ``notices`` are the
     licences, sorted, whose notice is an entire line of the text, and ``n_notice_lines`` counts
-    such lines.  Null texts count as empty and match nothing; repeated rows give repeated results;
-    an empty table gives no rows; other columns aren't read.
+    such lines; ``n_reserved_lines`` counts the lines that only say "All rights reserved".  Null
+    texts count as empty and match nothing; repeated rows give repeated results; an empty table
+    gives no rows; other columns aren't read.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = F.array(*(F.struct(F.lit(i).alias("id"), F.lit(t).alias("text")) for i, t in LICENCES))
+    texts = [(i, t, None) for i, t in LICENCES] + [(i, None, d) for i, d in DIGESTS]
+    rows = F.array(
+        *(F.struct(F.lit(i).alias("id"), F.lit(t).cast("string").alias("text"), F.lit(d).cast("string").alias("known")) for i, t, d in texts)
+    )
     known = (
         docs.sparkSession.range(1)
         .select(F.explode(rows).alias("r"))
-        .select(_digest(F.col("r.text")).alias("known"), F.col("r.id").alias("licence"))
+        .select(F.coalesce("r.known", _digest(F.col("r.text"))).alias("known"), F.col("r.id").alias("licence"))
     )
     notice_of = F.map_from_arrays(
         F.array(*(_digest(F.lit(t)) for _, t in NOTICES)), F.array(*(F.lit(i) for i, _ in NOTICES))
@@ -75,6 +81,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             F.col(id_col).cast("long").alias("id"),
             _digest(text).alias("digest"),
             F.filter(found, lambda x: x.isNotNull()).alias("hits"),
+            F.regexp_count(F.lower(text), F.lit(RESERVED_LINE)).cast("long").alias("n_reserved_lines"),
         )
         .join(F.broadcast(known), F.col("digest") == F.col("known"), "left")  # a fixed list
         .select(
@@ -83,6 +90,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             "licence",
             F.sort_array(F.array_distinct("hits")).alias("notices"),
             F.size("hits").cast("long").alias("n_notice_lines"),
+            "n_reserved_lines",
         )
     )
 

@@ -1,6 +1,7 @@
 """Tokens, packing, languages, main text and licences."""
 
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -11,7 +12,7 @@ from tokenizers import Tokenizer
 from scenelake.llm.bpe import decode, encode, encoder
 from scenelake.llm.html_text import extract, main_text
 from scenelake.llm.language_id import fit, has_letter, held_out, identify, learn
-from scenelake.llm.licence_texts import LICENCES
+from scenelake.llm.licence_texts import DIGESTS, LICENCES
 from scenelake.llm.licences import scan
 from scenelake.llm.packing import pack
 
@@ -116,3 +117,24 @@ def test_licences(documents):
     assert [got[i].licence for i in range(1, 7)] == ["MIT", "MIT", "BSD-3-Clause", None, None, None]
     assert (got[6].notices, got[6].n_notice_lines) == (["CC-BY-NC-4.0", "MIT"], 3) and got[1].notices == []
     assert scan(documents(rows).limit(0)).count() == 0
+
+
+def test_long_licences(documents):
+    apache = (Path(__file__).parent / "apache_2.txt").read_text()
+    terms = apache[: apache.index("APPENDIX")]
+    filled = apache.replace("Copyright [yyyy] [name of copyright owner]", "Copyright 2020 Some One")
+    rows = [(1, apache, None), (2, terms, None), (3, filled.replace("http:", "https:"), None), (4, apache + "more", None)]
+    long = {"Apache-2.0": "Apache-2.0", "GPL-3": "GPL-3.0-only", "LGPL-2.1": "LGPL-2.1-only", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    files = {n: Path("/usr/share/common-licenses", n) for n in long}  # where Debian has them
+    here = [n for n in files if files[n].exists()]
+    rows += [(10 + i, files[n].read_text(), None) for i, n in enumerate(here)]
+    got = {r.id: r.licence for r in scan(documents(rows)).collect()}
+    assert [got[i] for i in range(1, 5)] == ["Apache-2.0"] * 3 + [None]
+    assert [got[10 + i] for i in range(len(here))] == [long[n] for n in here]
+    assert len({d for _, d in DIGESTS}) == len(DIGESTS)
+
+
+def test_reserved_lines(documents):
+    rows = [(1, "a\n# All rights reserved.\nb", None), (2, "all rights reserved by us", None), (3, None, None)]
+    got = {r.id: r.n_reserved_lines for r in scan(documents(rows)).collect()}
+    assert got == {1: 1, 2: 0, 3: 0}
