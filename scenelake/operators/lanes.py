@@ -107,9 +107,10 @@ def with_lanes(tracks: DataFrame, lanes: DataFrame) -> DataFrame:
     return scenes.join(lanes.select("lane_id", "slot"), "slot").drop("slot")
 
 
-def nearest(tracks: DataFrame, lanes: DataFrame, points: DataFrame, k: int = 16, reach: float = 10.0) -> DataFrame:
+def nearest(tracks: DataFrame, lanes: DataFrame, points: DataFrame, k: int | None = 16, reach: float = 10.0) -> DataFrame:
     """The ``k`` lanes nearest to each valid step: by the nearest vertex, or within ``reach`` of it
-    by the projection on the better adjacent segment if it falls inside."""
+    by the projection on the better adjacent segment if it falls inside.  Without ``k``, all lanes
+    and no ranks."""
     w = _points_window()
     around = points.select(
         "lane_id", "pt", F.col("x").alias("vx"), F.col("y").alias("vy"),
@@ -139,9 +140,10 @@ def nearest(tracks: DataFrame, lanes: DataFrame, points: DataFrame, k: int = 16,
 
     ahead, behind = along(F.col("v.nx"), F.col("v.ny")), along(F.col("v.px"), F.col("v.py"))
     d = F.when(F.col("v.d") <= reach, F.least(F.col("v.d"), ahead, behind)).otherwise(F.col("v.d"))
-    ranked = best.withColumn("d", F.round(d, 6)).withColumn(
-        "rank", F.row_number().over(Window.partitionBy(*step).orderBy("d", "lane_id"))
-    )
+    far = best.withColumn("d", F.round(d, 6))
+    if k is None:
+        return far.select(*step, "lane_id", "d")
+    ranked = far.withColumn("rank", F.row_number().over(Window.partitionBy(*step).orderBy("d", "lane_id")))
     return ranked.where(F.col("rank") <= k).select(*step, "rank", "lane_id", "d")
 
 

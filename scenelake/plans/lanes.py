@@ -17,7 +17,7 @@ from scenelake.sources.world import SQL_LANES, SQL_POINTS, SQL_TRACKS
 A = k.AGENT
 
 
-def _near(spark: SparkSession, d: str, k_: int = 16) -> DataFrame:
+def _near(spark: SparkSession, d: str, k_: int | None = 16) -> DataFrame:
     return ln.nearest(world.tracks(spark, d), world.lanes(spark, d), world.lane_points(spark, d), k_)
 
 
@@ -69,7 +69,7 @@ def knn_lanes(spark: SparkSession, d: str) -> DataFrame:
 
 def best_lane(spark: SparkSession, d: str) -> DataFrame:
     """The lane of each agent with the greatest reciprocal mean distance over its steps."""
-    near = _near(spark, d, 10_000)
+    near = _near(spark, d, None)
     m = near.groupBy(*A, "lane_id").agg(F.round(exact_mean(F.col("d")), 8).alias("m"))
     sim = F.round(1 / F.greatest(F.col("m"), F.lit(1e-8)), 6)
     return m.groupBy(*A).agg(F.max(F.struct(sim.alias("sim"), (-F.col("lane_id")).alias("l"))).alias("b")).select(*A, (-F.col("b.l")).alias("lane_id"), r4("sim", F.col("b.sim")))

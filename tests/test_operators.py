@@ -12,6 +12,7 @@ from scenelake.operators import lanes as ln
 from scenelake.operators import pairs as p
 from scenelake.operators import predictions as pr
 from scenelake.operators import scoring as sc
+from scenelake.plans.lanes import best_lane
 
 TRACK = "scenario_id long, agent_id long, t int, x double, y double, valid boolean"
 
@@ -100,6 +101,19 @@ def test_nearest_lane_projects(spark, track):
     assert (r.lane_id, r.d) == (5, 1.0)
 
 
+def test_best_lane_averages_over_all_steps(spark, tmp_path):
+    # one agent, two steps; 10,001 lanes between them, and lane 0 near the second step but far from the first
+    events = [(1, 1, 1, "view", 1.00, '{"k": 50}'), (2, 2, 1, "view", 1.99, '{"k": 50}')]
+    events = spark.createDataFrame(events, "event_id long, ts long, user_id long, event_type string, value double, props string")
+    events.withColumn("ts", F.timestamp_seconds("ts").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/events.parquet")
+    place = F.when(F.col("id") == 0, 0.31).otherwise(0.25).cast("float")
+    lane = F.concat(F.array(place, F.lit(0.1).cast("float")), F.array_repeat(F.lit(0.0).cast("float"), 62))
+    lanes = spark.range(10_002).select((F.col("id") * 15).alias("vec_id"), lane.alias("embedding"), F.lit(0).alias("label"))
+    lanes.write.parquet(f"{tmp_path}/embeddings.parquet")
+    (r,) = best_lane(spark, str(tmp_path)).collect()
+    assert (r.lane_id, r.sim) == (15, pytest.approx(1 / 0.495, abs=1e-4))
+
+
 def test_nms_picks_and_ties(spark):
     rows = [(1, i, 0, s, x, 0.0) for i, (s, x) in enumerate([(5.0, 0.0), (4.0, 0.5), (3.0, 9.0), (3.0, 20.0)])]
     modes = spark.createDataFrame(rows, "object_id long, mode int, model_id long, score double, x double, y double")
