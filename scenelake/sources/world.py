@@ -21,7 +21,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(scenario_id, agent_id, t, x, y, valid): ten agents a scenario, one row per step."""
+    """(scenario_id, agent_id, t, x, y, valid): ten agents a scenario, one row per step.
+
+    A user's events after the first ``STEPS`` are dropped, here and in the SQL.
+    """
     user = F.col("user_id")
     still = user % 7 == 0
     by_user = Window.partitionBy("user_id").orderBy("ts", "event_id")
