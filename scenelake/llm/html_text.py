@@ -46,6 +46,8 @@ _BOILER_WORDS = set(
 )
 _BOILER_ROLES = set("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 _GOOD_WORDS = set("article body content entry hentry main page post story text blog".split())
+#: Names that begin so tell of a state of the page, not of the element's role.
+_STATES = {"has", "no", "with", "without"}
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
            "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}}
 _LIMITS = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}}
@@ -107,10 +109,14 @@ def _judged(attrs: str) -> tuple[bool, float]:
         name = (m[1] or m[5]).lower()
         value = next((v for v in (m[2], m[3], m[4]) if v is not None), "").lower()
         if name in ("class", "id"):
-            words = set(re.split(r"[\s_-]+", value))
-            if words & _BOILER_WORDS:
-                return True, 0.0
-            if words & _GOOD_WORDS:
+            names = [re.split(r"[_-]+", n) for n in value.split()]
+            good = any(n[0] in _GOOD_WORDS for n in names if len(n) == 1)
+            for n in names:
+                # beside a content name, a compound such as sidebar-left is a matter of layout
+                layout = good and len(n) > 1 and n[0] not in _GOOD_WORDS
+                if set(n) & _BOILER_WORDS and n[0] not in _STATES and not layout:
+                    return True, 0.0
+            if any(set(n) & _GOOD_WORDS for n in names if n[0] not in _STATES):
                 bonus = 25.0
         elif name == "hidden" or name == "aria-hidden" and value == "true":
             return True, 0.0
@@ -191,6 +197,11 @@ def _best(tags, parents, boiler, bonus, length, linked, own, own_linked, commas)
             keep.add(i)
         elif tags[i] == "p" and (density < 0.25 if length[i] > 80 else density == 0):
             keep.add(i)
+    top = best
+    while top > 0 and tags[top] not in ("article", "main"):
+        top = parents[top]
+    if top > 0:
+        keep.add(top)  # the author marked it as the article, so all in it counts
     return best, keep
 
 

@@ -138,3 +138,14 @@ def test_reserved_lines(documents):
     rows = [(1, "a\n# All rights reserved.\nb", None), (2, "all rights reserved by us", None), (3, None, None)]
     got = {r.id: r.n_reserved_lines for r in scan(documents(rows)).collect()}
     assert got == {1: 1, 2: 0, 3: 0}
+
+
+def test_main_text_keeps_the_whole_article():
+    long, side = "<p>" + "long text, " * 20 + "</p>", "b" * 200
+    page = f"<body><article><h1>T</h1><div class=entry>{long * 10}</div><div>{side}</div><ul><li>item</ul><nav>menu</nav></article></body>"
+    lines = main_text(page).split("\n")
+    assert lines[0] == "T" and lines[-2:] == [side, "item"] and len(lines) == 13
+    for name in ("content has-sidebar", "post no-comments", "content sidebar-left"):
+        assert main_text(f"<body><div class='{name}'>{long}</div></body>")
+    for name in ("content-sidebar", "post post-footer", "sidebar"):
+        assert "x y z" not in main_text(f"<body><div class=content>{long}<div class='{name}'>x y z</div></div></body>")
