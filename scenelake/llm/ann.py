@@ -33,13 +33,19 @@ MAX_LISTS = 4096
 #: brute force in the sample; and so many trial queries.
 TARGET = 0.97
 TRIALS = 256
-#: Candidates of a query that are reranked.
+#: Candidates of a query that are reranked, up to so many classes; beyond, they grow with the fourth root.
 RERANK = 200
+RERANK_CLASSES = 2_000
 #: Index entries of a list that one task holds.
 SLICE = 50_000
 _ROUNDS = 10
 
 
+def depth(n: int) -> int:
+    """Candidates of a query that are reranked if there are ``n`` classes."""
+    return math.ceil(RERANK * max(1.0, n / RERANK_CLASSES) ** 0.25)
+
+
 def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Squared distances of all rows of ``a`` to all rows of ``b``."""
     return np.maximum((a * a).sum(1)[:, None] - 2 * (a @ b.T) + (b * b).sum(1), 0)
@@ -149,7 +155,7 @@ def search(
     vec_col: str = "embedding",
     k: int = K,
     train: int = TRAIN,
-    rerank: int = RERANK,
+    rerank: int | None = None,
     target: float = TARGET,
     slice_rows: int = SLICE,
 ) -> DataFrame:
@@ -159,7 +165,7 @@ def search(
     original vectors in double precision; ties go to the smaller id.  Null, zero and non-finite
     vectors, vectors of another dimension than most and rows without an id take no part.  Of rows
     with equal id and vector one counts.  Fewer than ``k`` candidates are returned all; an empty
-    table gives no rows; other columns aren't read.
+    table gives no rows; other columns aren't read.  ``rerank`` is :func:`depth` of the classes if not given.
     """
     spark = vectors.sparkSession
     rows = staged(_valid(vectors, id_col, vec_col).distinct(), "vectors")
@@ -170,6 +176,7 @@ def search(
     result = "query long, rank int, id long, score double"
     if not n:
         return spark.createDataFrame([], result)
+    rerank = depth(n) if rerank is None else rerank
     lists = min(MAX_LISTS, max(1, 1 << round(math.log2(math.sqrt(n) / 2 + 1))))
     share = F.pmod(F.xxhash64(F.lit(2), "rep"), F.lit(1 << 30)) / float(1 << 30)
     sample = classes.where(share < train / n).select("rep", "vec").toPandas().sort_values("rep")

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scenelake.llm import warc, zip_archive
-from scenelake.llm.ann import search
+from scenelake.llm.ann import depth, search
 
 
 class Bytes:
@@ -110,3 +110,7 @@ def test_search_recall(spark):
         hit += len(set(ids[np.argsort(d)[:10]]) & {r.id for r in got if r.query == q})
         total += 10
     assert hit >= 0.9 * total
+
+
+def test_rerank_depth_grows_with_the_table():
+    assert [depth(n) for n in (1, 2_000, 32_000, 20_000_000)] == [200, 200, 400, 2000]
