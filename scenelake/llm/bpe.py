@@ -1,12 +1,13 @@
 """BPE encoding and decoding by forced-boundary splitting.
 
 A byte pair that never occurs inside any vocabulary token marks a certain cut: no merge can join
-its two sides.  Texts are cut there, every different fragment is encoded once and remembered, and
-the ids are concatenated.  Two kinds of vocabulary are known:
+its two sides.  Byte strings are cut there, every different fragment is encoded once by itself and
+remembered, and the ids are concatenated.  Two kinds of vocabulary are known:
 
-* with an end-of-word suffix: white space is dropped and words end with the suffix, so a cut must
-  also lie between two pre-tokens.  White space always does; so do changes between ASCII letters,
-  digits and punctuation, but for an apostrophe before a letter (contractions).
+* with an end-of-word suffix: the suffix is one more byte, 0xFF, which UTF-8 never has.  Words between
+  white space are normalised and parted into pre-tokens, each closed by that byte; then pre-tokens are
+  joined by spaces and the whole is cut at all forced boundaries at once, inside words and between
+  them.  A word's last fragment thus has the suffix, its others don't.
 * byte-level without suffix: white space belongs to the word after it and is kept, so cuts are
   before a space or line feed that follows anything but white space, and after a lone line feed.
   Texts with runs of white space or with white space beyond ASCII are cut only where ASCII that
@@ -39,6 +40,9 @@ _BEFORE_SPACE = re.compile(rb"(?<=[\x00-\x08\x0E-\x1F\x21-\x7F])(?=[ \n])")
 
 
 _LONG_SPACE = re.compile(rb"(?:[\x20\x09-\x0D]|" + _WIDE + rb"){500}")
+#: The end-of-word suffix as a byte, and what closes a pre-token.
+_END = 0xFF
+_CLOSE = bytes([_END])
 _LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 #: Fixed value: the pre-token pattern of byte-level vocabularies.
 _BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -51,11 +55,6 @@ def _byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
-def _kind(b: int) -> str:
-    c = chr(b)
-    return "a" if c.isalpha() and b < 128 else "0" if c.isdigit() and b < 128 else "." if b < 128 else "x"
-
-
 class Encoder:
     """A tokenizer file with the cuts of its vocabulary and a memory of fragments."""
 
@@ -86,17 +85,26 @@ class Encoder:
             self.inside[pairs[:-1], pairs[1:]] = True
             if not _WIDE_SPACE.search(raw):
                 self.inside_narrow[pairs[:-1], pairs[1:]] = True
-        self.cut = self._word_cuts() if self.suffix else None
+        self.special = sorted(t.encode() for t in special)
+        self.alphabet = alphabet
+        if self.suffix:  # every byte can end a word
+            self.inside[:, _END] = True
+            self.inside[list(_SPACES), _END] = False
+            self.inside[_END] = False
+        self.merge = self._merge_loop(spec["model"]) if self.suffix else None
         self.engine = self._engine(spec["model"], special)
+        if self.suffix and self.engine is not None:
+            self.merge = self.engine._encode_single_piece
         self.words: dict[bytes, bytes] = {}
+        self.fragments: dict[bytes, bytes] = {}
         self.spaced: dict[bytes, bytes] = {}
         self.check()
 
     def _engine(self, model: dict, special: set[str]):
         """A faster coder with the same results, if ids rise in the order of merges, else None.
 
-        The end-of-word suffix becomes the byte 0xFF, which UTF-8 never has; every byte joins it
-        before any other merge, as ids of bytes with suffix are below those of merges.
+        Every byte joins the end-of-word byte before any other merge, as ids of bytes with suffix are
+        below those of merges.
         """
         import tiktoken
 
@@ -104,7 +112,7 @@ class Encoder:
         merged = [vocab.get("".join(m if isinstance(m, list) else m.split(" "))) for m in model["merges"]]
         if None in merged or merged != sorted(set(merged)) or (merged and merged[0] < base):
             return None
-        end = b"\xff" if self.suffix else b""
+        end = bytes([_END]) if self.suffix else b""
         ranks = {}
         for token, i in vocab.items():
             if token not in special:
@@ -140,24 +148,34 @@ class Encoder:
         if bad:
             raise ValueError("white space doesn't mark certain cuts in this vocabulary")
 
-    def _word_cuts(self) -> np.ndarray:
-        """Pairs of raw bytes at which a word may be cut; capitals count as small letters."""
-        small = np.arange(256)
-        small[65:91] += 32
-        never = ~self.inside[np.ix_(small, small)]
-        kinds = [_kind(b) for b in range(256)]
-        apart = np.array(
-            [[x != "x" != y and (x != y or x == "0") for y in kinds] for x in kinds]
-        )
-        apart[ord("'"), [b for b in range(256) if kinds[b] == "a"]] = False
-        return never & apart
+    def _merge_loop(self, model: dict):
+        """Ids of one fragment: merges in their order, of equal ones the leftmost first.
 
-    def _one_piece(self, word: bytes) -> bytes | None:
-        """Ids of a word of letters below U+0100, which is one pre-token, by the fast coder."""
-        text = word.decode()
-        if self.engine is None or not _LATIN.fullmatch(text):
-            return None
-        return np.array(self.engine._encode_single_piece(text.lower().encode() + b"\xff"), "<u4").tobytes()
+        For vocabularies that the faster coder can't take.
+        """
+        end, vocab = bytes([_END]), model["vocab"]
+
+        def raw(token: str) -> bytes:
+            body = token.removesuffix(self.suffix)
+            return bytes(map(self.alphabet.__getitem__, body)) + (end if token.endswith(self.suffix) else b"")
+
+        merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        order = {(raw(a), raw(b)): at for at, (a, b) in reversed(list(enumerate(merges)))}
+        special = {t.decode() for t in self.special}
+        ids = {raw(t): i for t, i in vocab.items() if t not in special}
+
+        def merge(fragment: bytes) -> list[int]:
+            parts = [bytes([b]) for b in fragment.removesuffix(end)]
+            if fragment.endswith(end):
+                parts[-1] += end
+            while len(parts) > 1:
+                at, i = min((order.get(pair, len(order)), i) for i, pair in enumerate(zip(parts, parts[1:])))
+                if at == len(order):
+                    break
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            return [ids[p] for p in parts]
+
+        return merge
 
     def _ids(self, fragments: list[bytes]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(
@@ -165,33 +183,49 @@ class Encoder:
         )
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
-    def _pieces(self, word: bytes) -> list[bytes]:
-        at = np.frombuffer(word, np.uint8)
-        cuts = np.flatnonzero(self.cut[at[:-1], at[1:]]) + 1
-        edges = [0, *cuts.tolist(), len(word)]
-        return [word[a:b] for a, b in zip(edges, edges[1:])]
-
-    def _learn(self, memory: dict[bytes, bytes], missing: set[bytes], before: bytes = b"") -> None:
-        if len(memory) + len(missing) > _REMEMBERED:
-            memory.clear()
+    def _closed(self, word: bytes) -> bytes:
+        """The pre-tokens of a word, normalised, each closed by the end-of-word byte, spaces between."""
+        text = word.decode()
+        if _LATIN.fullmatch(text):  # one pre-token, and small letters are its normal form
+            return text.lower().encode() + _CLOSE
+        normal = self.tokenizer.normalizer.normalize_str(text) if self.tokenizer.normalizer else text
+        parts = self.tokenizer.pre_tokenizer.pre_tokenize_str(normal)
+        return b" ".join(bytes(map(self.alphabet.__getitem__, p)) + _CLOSE for p, _ in parts)
+
+    def split(self, closed: bytes) -> list[bytes]:
+        """The fragments between forced boundaries; a space is one of its own."""
+        at = np.frombuffer(closed, np.uint8)
+        edges = [0, *(np.flatnonzero(~self.inside[at[:-1], at[1:]]) + 1).tolist(), len(closed)]
+        return [closed[a:b] for a, b in zip(edges, edges[1:])]
+
+    def _learn_words(self, missing: set[bytes]) -> None:
+        """Remember the ids of words, put together from those of their fragments."""
         new = sorted(missing)
-        if self.cut is None:
-            memory.update(zip(new, self._ids([before + f for f in new])))
+        if self.special:
+            odd = [w for w in new if any(s in w for s in self.special)]
+            self.words.update(zip(odd, self._ids(odd) if odd else []))
+            new = [w for w in new if w not in self.words] if odd else new
+        if not new:
             return
-        split = []
-        for w in new:
-            if (ids := self._one_piece(w)) is None:
-                split.append((w, self._pieces(w)))
+        pieces = self.split(b"\n".join(map(self._closed, new)) + b"\n")
+        known = self.fragments
+        if len(known) + len(pieces) > _REMEMBERED:
+            known.clear()
+        for f in {*pieces} - known.keys() - {b" ", b"\n"}:
+            known[f] = np.array(self.merge(f), "<u4").tobytes()
+        known[b" "] = b""
+        ids: list[bytes] = []
+        word = iter(new)
+        for f in pieces:
+            if f == b"\n":
+                self.words[next(word)] = b"".join(ids)
+                ids.clear()
             else:
-                memory[w] = ids
-        known: dict[bytes, bytes] = {}
-        for p in {p for _, s in split for p in s}:
-            if (ids := memory.get(p) or self._one_piece(p)) is not None:
-                known[p] = ids
-        parts = sorted({p for _, s in split for p in s if p not in known})
-        known.update(zip(parts, self._ids(parts) if parts else []))
-        for w, s in split:
-            memory[w] = b"".join(map(known.__getitem__, s))
+                ids.append(known[f])
+
+    def _learn(self, memory: dict[bytes, bytes], missing: set[bytes], before: bytes = b"") -> None:
+        new = sorted(missing)
+        memory.update(zip(new, self._ids([before + f for f in new])))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each UTF-8 text, as little-endian unsigned 32-bit integers."""
@@ -204,7 +238,7 @@ class Encoder:
             if len(self.words) + len(missing) > _REMEMBERED:
                 self.words.clear()
                 missing = wanted
-            self._learn(self.words, missing)
+            self._learn_words(missing)
         get = self.words.__getitem__
         return [b"".join(map(get, s)) for s in split]
 
@@ -273,7 +307,8 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     """(id, ids): token ids of every whole text, packed as little-endian unsigned 32-bit integers.
 
     ``path`` is a tokenizer file that every executor has.  Null and empty texts have no tokens,
-    repeated rows are encoded each, an empty table gives no rows, other columns aren't read.
+    repeated rows are encoded each, an empty table gives no rows, other columns aren't read.  A long
+    text is held whole by its task, with its words and ids; what is remembered of others is bounded.
     """
 
     def batches(it):

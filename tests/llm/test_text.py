@@ -1,15 +1,19 @@
 """Tokens, packing, languages, main text and licences."""
 
+import json
 import zlib
+from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
 import public_tokenizers
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from scenelake.llm.bpe import decode, encode, encoder
+from scenelake.llm.bpe import Encoder, decode, encode, encoder
 from scenelake.llm.html_text import extract, main_text
 from scenelake.llm.language_id import fit, has_letter, held_out, identify, learn
 from scenelake.llm.licence_texts import DIGESTS, LICENCES
@@ -42,9 +46,42 @@ def test_bpe_equals_the_library(spark, documents, odd_texts, name):
 
 
 def test_cuts_are_pairs_that_no_token_has():
+    own = Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    letters = range(ord("a"), ord("z") + 1)
+    never = [bytes([x, y]) for x in letters for y in letters if not own.inside[x, y]]
+    assert never and all(p.decode() not in token for p in never for token in own.shown)
+    a, b = never[0], never[-1]
+    word = b"some" + a[:1] + a[1:] + b"thing" + b + b"less"
+    # the last fragment alone has the end-of-word byte; ids are those of the fragments, side by side
+    parts = own.split(word + b"\xff")
+    assert parts == [b"some" + a[:1], a[1:] + b"thing" + b[:1], b[1:] + b"less\xff"]
+    got = np.frombuffer(own.encode([word + b" " + word])[0], "<u4").tolist()
+    once = [i for p in parts for i in np.frombuffer(own.fragments[p], "<u4").tolist()]
+    assert got == once * 2 and set(parts) <= own.fragments.keys()
+    assert own.tokenizer.encode(word.decode(), add_special_tokens=False).ids == once
+    # what a fragment gives decides: other ids for it show up in the text's
+    own.words.clear()
+    own.fragments[parts[1]] = np.array([7], "<u4").tobytes()
+    assert 7 in np.frombuffer(own.encode([word])[0], "<u4").tolist()
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(st.sampled_from("abjqxz'é,!1ſ\u0301日 "), max_size=30))
+def test_fragments_and_the_plain_merge_loop(text):
     own = encoder(public_tokenizers.path("word_bpe_49k.json"))
-    assert not (own.cut & own.inside).any()
-    assert own.cut[ord("e"), ord(",")] and not own.cut[ord("'"), ord("s")] and not own.cut[ord("a"), ord("b")]
+    want = own.tokenizer.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(own.encode([text.encode()])[0], "<u4").tolist() == want
+    plain = _plain_merges()
+    for word in text.encode().split():
+        for f in own.split(own._closed(word)):
+            assert f == b" " or plain(f) == own.merge(f)
+
+
+@lru_cache
+def _plain_merges():
+    own = encoder(public_tokenizers.path("word_bpe_49k.json"))
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        return own._merge_loop(json.load(f)["model"])
 
 
 def test_packing_is_gapless(documents, odd_texts):
