@@ -1,28 +1,32 @@
-"""Exact dedup: a tree merge of digest runs, in DataFrame operations only.
-
-Every input partition is a run: its rows are aggregated by digest where they were read (sorted by
-digest, one entry for each).  Runs are then exchanged in binomial rounds: run ``r`` of a round
-goes to merge group ``r >> fan_bits`` of the next, and the entries that meet there are sorted and
-merged.  Each entry keeps the row count and the row that stays; equal digests are verified by the
-length of the normalised text at every level.  The last round has one entry for each digest.  What
-it says goes back to the runs first and from there to their rows.  A hot text thus costs one entry
-for each run, however many copies it has, and its copies are joined run by run.
+"""Exact dedup: a tree merge of sorted digest runs, in DataFrame operations only.
+
+Every input partition makes a run: its rows are aggregated by digest, one entry for each, with the row
+count and the row that stays.  Runs lie in segments, ranges of digests.  They are exchanged in binomial
+rounds: in round ``t`` the runs whose numbers agree above the lowest ``t * fan_bits`` bits meet, segment
+by segment; a segment of a group is one place, where the entries of its runs are brought in order of
+digest and merged in one pass.  There are as many rounds as it takes until one run is left, the root;
+a round merges up to ``2**fan_bits`` runs.  Entries are only merged if, beside the digest, the length of
+the normalised text and an independent hash of it agree, at every level.
+
+What the root says goes back to the runs first and from there to their rows.  A hot text thus costs
+one entry for each run, however many copies it has, and its copies are joined run by run.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scenelake.llm.common import ASCII_SPACE, P, staged
+from scenelake.llm.common import ASCII_SPACE, P, shuffle_partitions, staged
 
-#: Runs that meet in one merge group, as a power of two, and merging rounds before the root.
-FAN_BITS = 5
-ROUNDS = 2
+#: Runs that meet in one merge, as a power of two.
+FAN_BITS = 4
 #: Row ids hold the partition above this bit.
 _PARTITION_BIT = 33
+#: What must agree if two texts are to be equal.
+_TEXT = ["digest", "size", "check"]
 
 
 def normalised(text: Column) -> Column:
@@ -31,7 +35,7 @@ def normalised(text: Column) -> Column:
 
 
 def digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One narrow row per document: id, digest and length of its normalised text, code points."""
+    """One narrow row per document: id, code points; digest, length and hash of its normalised text."""
     norm = docs.select(
         F.col(id_col).alias("id"),
         F.coalesce(F.length(text_col), F.lit(0)).alias("points"),
@@ -42,12 +46,13 @@ def digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         "points",
         F.unhex(F.sha2("norm", 256)).alias("digest"),
         F.length("norm").alias("size"),
+        F.xxhash64("norm").alias("check"),
         F.monotonically_increasing_id().alias("row"),
     )
 
 
-def _merge(entries: DataFrame, keys: list[str]) -> DataFrame:
-    return entries.groupBy("digest", "size", *keys).agg(F.sum("n").alias("n"), F.min("best").alias("best"))
+def _merge(entries: DataFrame, place: list[str]) -> DataFrame:
+    return entries.groupBy(*place, *_TEXT).agg(F.sum("n").alias("n"), F.min("best").alias("best"))
 
 
 def _run() -> Column:
@@ -55,39 +60,39 @@ def _run() -> Column:
 
 
 def sorted_runs(rows: DataFrame) -> DataFrame:
-    """(digest, size, run, n, best): the entries of every partition of ``rows`` of :func:`digests`."""
+    """The entries of every partition of ``rows`` of :func:`digests`: run, digest, size, check, n, best."""
     order = F.struct(
         (-F.col("points")).alias("points"), F.col("id").isNull().alias("no_id"), "id", "row"
     )
-    level = rows.select(
-        "digest",
-        "size",
-        _run().alias("run"),
-        F.lit(1).cast("long").alias("n"),
-        order.alias("best"),
-    )
-    return _merge(level, ["run"])
+    own = rows.select(_run().alias("run"), *_TEXT, F.lit(1).cast("long").alias("n"), order.alias("best"))
+    return _merge(own, ["run"])
 
 
-def merge_runs(runs: DataFrame, fan_bits: int = FAN_BITS, rounds: int = ROUNDS) -> DataFrame:
-    """(digest, size, n, best): the root of the merge tree over :func:`sorted_runs`."""
-    level = reduce(
-        lambda df, _: _merge(df.withColumn("run", F.shiftright("run", fan_bits)), ["run"]),
-        range(rounds),
-        runs,
-    )
-    return _merge(level, [])
+def rounds(n_runs: int, fan_bits: int) -> int:
+    """Rounds until ``n_runs`` runs are one; one at least, which brings segments together."""
+    return max(1, math.ceil(max(0, n_runs - 1).bit_length() / fan_bits))
+
 
+def merge_runs(runs: DataFrame, n_runs: int, fan_bits: int = FAN_BITS) -> DataFrame:
+    """(digest, size, check, n, best): the root of the merge tree over :func:`sorted_runs`."""
+    bits = min(16, max(5, math.ceil(math.log2(4 * shuffle_partitions(runs.sparkSession)))))
+    segment = F.shiftright(F.conv(F.hex(F.substring("digest", 1, 2)), 16, 10).cast("int"), 16 - bits)
+    place = ["run", "segment"]
+    level = runs.withColumn("segment", segment)
+    for _ in range(rounds(n_runs, fan_bits)):
+        level = level.withColumn("run", F.shiftright("run", fan_bits))
+        # one exchange a round: the merge finds its runs by place, in order, and needs no other
+        level = _merge(level.repartition(*place).sortWithinPartitions(*place, *_TEXT), place)
+    return level.select(*_TEXT, "n", "best")
 
-def _decided(rows: DataFrame, fan_bits: int, rounds: int) -> DataFrame:
+
+def _decided(rows: DataFrame, fan_bits: int) -> DataFrame:
     """The staged rows of :func:`digests` with what the root says of their text."""
+    n_runs = (rows.agg(F.max(_run()).alias("last")).first()["last"] or 0) + 1
     runs = sorted_runs(rows)
-    root = merge_runs(runs, fan_bits, rounds).select(
-        F.col("digest").alias(f"{P}d"), F.col("size").alias(f"{P}s"), "n", "best"
-    )
-    same = (F.col("digest") == F.col(f"{P}d")) & (F.col("size") == F.col(f"{P}s"))
-    back = runs.select("digest", "size", "run").join(root, same).select("digest", "size", "run", "n", "best")
-    return rows.withColumn("run", _run()).join(back, ["digest", "size", "run"])
+    root = merge_runs(runs, n_runs, fan_bits)
+    back = runs.select("run", *_TEXT).join(root, _TEXT).select("run", *_TEXT, "n", "best")
+    return rows.withColumn("run", _run()).join(back, ["run", *_TEXT])
 
 
 def exact_duplicates(
@@ -95,17 +100,17 @@ def exact_duplicates(
     id_col: str = "doc_id",
     text_col: str = "text",
     fan_bits: int = FAN_BITS,
-    rounds: int = ROUNDS,
 ) -> DataFrame:
     """(id, keep_id, group_size, kept, text_sha256) for every row of ``docs``.
 
     Texts are equal if they are identical without ASCII white space; null counts as empty.  Of
     equal texts the row with the most code points stays, then the smallest id; null ids come last,
-    and of rows equal in all of this one stays.  Empty tables give no rows; other columns of
+    and of rows equal in all of this one stays.  A long text is one value of its row; only its digest
+    is shuffled.  Ids may have any type with an order.  Empty tables give no rows; other columns of
     ``docs`` aren't read.
     """
     rows = staged(digests(docs, id_col, text_col), "digests")
-    return _decided(rows, fan_bits, rounds).select(
+    return _decided(rows, fan_bits).select(
         "id",
         F.col("best.id").alias("keep_id"),
         F.col("n").alias("group_size"),
@@ -123,7 +128,7 @@ def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = staged(digests(docs, id_col, text_col), "digests")
     key = ["id", "digest", "points"]
     stay = (
-        _decided(rows, FAN_BITS, ROUNDS)
+        _decided(rows, FAN_BITS)
         .where(F.col("row") == F.col("best.row"))
         .select(*(F.col(c).alias(f"{P}{c}") for c in key))
     )

@@ -6,7 +6,7 @@ import re
 
 import xxhash
 
-from scenelake.llm import simhash, substring_dedup
+from scenelake.llm import exact_dedup, simhash, substring_dedup
 from scenelake.llm.components import components
 from scenelake.llm.exact_dedup import exact_duplicates, without_duplicates
 from scenelake.llm.simhash import near_duplicates, without_near_duplicates
@@ -37,6 +37,39 @@ def test_exact(documents, odd_texts):
     assert next(r.keep_id for r in got if r.id == 25) == 22  # two spaces are more code points
 
 
+def test_exact_over_many_runs_and_rounds(documents):
+    """More runs than one merge takes: copies within runs, across runs of a group and across groups."""
+    rng = random.Random(5)
+    rows = [(i, rng.choice(["a b", "ab ", "a  b", f"t{rng.randrange(90)}", "", None]), "en") for i in range(900)]
+    docs = documents(rows).repartition(21)
+    want = sorted(repr((i, k, n)) for i, k, n, _ in brute_exact([(i, t, x) for i, t, x in rows]))
+    assert [exact_dedup.rounds(n, 2) for n in (0, 1, 2, 4, 5, 16, 17, 21, 64, 65)] == [1, 1, 1, 1, 2, 2, 3, 3, 3, 4]
+    for fan_bits in (1, 2, 6):
+        got = exact_duplicates(docs, fan_bits=fan_bits)
+        assert sorted(repr((r.id, r.keep_id, r.group_size)) for r in got.collect()) == want
+
+
+def test_every_round_merges_runs(spark, documents):
+    """One exchange by run and segment a round, and each level holds what its runs have."""
+    rows = exact_dedup.digests(documents([(i, f"t{i % 7}", "en") for i in range(64)]).repartition(8), "doc_id", "text")
+    runs = exact_dedup.sorted_runs(rows)
+    root = exact_dedup.merge_runs(runs, 8, fan_bits=1)
+    assert sorted(r.n for r in root.collect()) == sorted([10] + [9] * 6)
+    plan = root._jdf.queryExecution().executedPlan().toString()
+    assert len(set(re.findall(r"Exchange hashpartitioning\((run#\d+)L?, segment#\d+, \d+\)", plan))) == 3
+
+
+def test_texts_of_other_length_or_hash_never_merge(spark):
+    rows = [(1, 3, b"d", 3, 1, 0), (2, 3, b"d", 3, 2, 1), (3, 3, b"d", 4, 1, 2), (4, 3, b"d", 3, 1, 3)]
+    entries = exact_dedup.sorted_runs(spark.createDataFrame(rows, "id long, points int, digest binary, size int, check long, row long"))
+    assert sorted(r.n for r in exact_dedup.merge_runs(entries, 1).collect()) == [1, 1, 2]
+
+
+def test_exact_with_other_ids(spark):
+    docs = spark.createDataFrame([("b", "x"), ("a", "x"), (None, "x")], "doc_id string, text string")
+    assert {r.keep_id for r in exact_duplicates(docs).collect()} == {"a"}
+
+
 def test_exact_keeps_rows_whole(documents, odd_texts):
     docs = documents(odd_texts)
     kept = without_duplicates(docs)
