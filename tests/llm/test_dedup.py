@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import xxhash
 
 from scenelake.llm import exact_dedup, simhash, substring_dedup
@@ -184,8 +185,50 @@ def test_substring_keeps_columns(documents, odd_texts):
     assert without_repeats(docs.limit(0)).count() == 0
 
 
-def test_polynomials_spread_over_buckets():
+def test_substring_with_weak_hashes_is_verified(documents, odd_texts):
+    """Windows that only share a hash are never taken as equal, in a chunk or between chunks."""
+    rng = random.Random(4)
+    rows = odd_texts[:8] + [(50 + i, " ".join(rng.choice("ab") for _ in range(60)), "en") for i in range(30)]
+    want = sorted(map(repr, brute_repeats(rows, 6)))
+    for kw in ({"chunk_chars": 300}, {"chunk_chars": 10**9}):
+        got = remove_repeats(documents(rows), window=6, hash_bits=5, **kw).collect()
+        assert sorted(map(repr, ((r.id, r.n_words, r.n_removed, r.kept) for r in got))) == want
+
+
+def test_substring_with_one_hot_id(documents):
+    """Rows of one id, a third of all and more than a chunk, don't affect each other, others do."""
+    rng = random.Random(6)
+    passage = " ".join(f"p{k}" for k in range(60))
+    rows = [(7 if i % 3 else i, f"{passage} x{i} " + " ".join(f"r{rng.randrange(9)}" for _ in range(30)), "en") for i in range(120)]
+    got = remove_repeats(documents(rows), chunk_chars=1500, bucket_windows=100).collect()
+    want = brute_repeats(rows, 50)
+    assert sorted(map(repr, ((r.id, r.n_words, r.n_removed, r.kept) for r in got))) == sorted(map(repr, want))
+    assert {r.n_removed >= 60 for r in got if r.id == 7} == {True} and next(r.n_removed for r in got if r.id == 0) == 0
+
+
+def test_rolling_hash_equals_the_polynomial():
+    prime = substring_dedup.PRIME
+    rng = np.random.default_rng(1)
+    words = np.concatenate((rng.integers(0, prime, 300, dtype=np.uint64), np.array([0, prime, prime - 1, 1] * 5, np.uint64)))
+    got = substring_dedup._rolled(words, 50).tolist()
+    powers = [pow(substring_dedup._BASE, k, prime) for k in range(50)]
+    want = [sum(int(w) * p for w, p in zip(words[i : i + 50], powers)) % prime for i in range(len(words) - 49)]
+    assert got == want
+
+
+def test_structured_windows_spread():
+    """Swapped words and Thue-Morse blocks, where polynomials modulo powers of two lose bits."""
+    a, b = substring_dedup.word_hashes([b"a", b"b"])
+    blocks = [np.array([a if bin(i ^ flip).count("1") % 2 else b for i in range(64)]) for flip in (0, 1, 63)]
+    blocks += [np.array([a] * k + [b] + [a] * (63 - k)) for k in range(64)]
+    hashes = [int(substring_dedup._rolled(x, 64)[0]) for x in blocks]
+    same = len({tuple(x.tolist()) for x in blocks})
+    assert len(set(hashes)) == same
+    assert len({h & 0xFFFF for h in hashes}) > 0.9 * same and len({h >> 45 for h in hashes}) > 0.9 * same
+
+
+def test_buckets_are_even_ranges():
     words = substring_dedup.word_hashes([b"w%d" % i for i in range(20000)])
-    _, buckets = substring_dedup.window_hashes(words, 50, 100)
-    sizes = [int((buckets == b).sum()) for b in range(100)]
-    assert min(sizes) > 100 and max(sizes) < 320
+    buckets = substring_dedup.bucket_of(substring_dedup._rolled(words, 50), 100)
+    sizes = np.bincount(buckets, minlength=100)
+    assert len(sizes) == 100 and sizes.min() > 130 and sizes.max() < 280
