@@ -1,4 +1,4 @@
-"""Texts of public licences, without copyright lines, and one-line notices."""
+"""Texts of public licences, without copyright lines, and the names of licences in notices."""
 
 _PERMISSION = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"""
 _AS_IS = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
@@ -40,26 +40,34 @@ In jurisdictions that recognize copyright laws, the author or authors of this so
 
 THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
 
-#: (licence, entire text); a title line above the text is part of some files, so both forms count.
+_WTFPL = """DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE
+Version 2, December 2004
+
+Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed.
+
+DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE
+TERMS AND CONDITIONS FOR COPYING, DISTRIBUTION AND MODIFICATION
+
+0. You just DO WHAT THE FUCK YOU WANT TO."""
+
+#: Licence, its text, and titles that files put above it; a text without a title counts too.
+_TITLED = [
+    ("MIT", _MIT, ["MIT License", "MIT License (MIT)", "MIT", "This software is released under the MIT license:"]),
+    ("MIT-0", _MIT_0, ["MIT No Attribution"]),
+    ("ISC", _ISC, ["ISC License", "ISC License (ISC)", "ISC"]),
+    ("0BSD", _0BSD, ["BSD Zero Clause License", "Zero-Clause BSD", "0BSD"]),
+    ("BSD-2-Clause", _BSD_2, ["BSD 2-Clause License", "2-Clause BSD License", "Simplified BSD License", "BSD License"]),
+    ("BSD-3-Clause", _BSD_3, ["BSD 3-Clause License", "3-Clause BSD License", "New BSD License", "BSD License"]),
+    ("Zlib", _ZLIB, ["zlib License"]),
+    ("BSL-1.0", _BOOST, ["Boost Software License - Version 1.0 - August 17th, 2003"]),
+    ("Unlicense", _UNLICENSE, []),
+    ("WTFPL", _WTFPL, []),
+]
+#: (licence, entire text)
 LICENCES = [
-    ("MIT", _MIT),
-    ("MIT", f"MIT License\n\n{_MIT}"),
-    ("MIT", f"The MIT License (MIT)\n\n{_MIT}"),
-    ("MIT-0", _MIT_0),
-    ("MIT-0", f"MIT No Attribution\n\n{_MIT_0}"),
-    ("ISC", _ISC),
-    ("ISC", f"ISC License\n\n{_ISC}"),
-    ("0BSD", _0BSD),
-    ("0BSD", f"BSD Zero Clause License\n\n{_0BSD}"),
-    ("BSD-2-Clause", _BSD_2),
-    ("BSD-2-Clause", f"BSD 2-Clause License\n\n{_BSD_2}"),
-    ("BSD-3-Clause", _BSD_3),
-    ("BSD-3-Clause", f"BSD 3-Clause License\n\n{_BSD_3}"),
-    ("Zlib", _ZLIB),
-    ("Zlib", f"zlib License\n\n{_ZLIB}"),
-    ("BSL-1.0", _BOOST),
-    ("BSL-1.0", f"Boost Software License - Version 1.0 - August 17th, 2003\n\n{_BOOST}"),
-    ("Unlicense", _UNLICENSE),
+    (licence, f"{title}\n\n{text}".strip())
+    for licence, text, titles in _TITLED
+    for title in ["", *titles, *(f"The {t}" for t in titles)]
 ]
 
 #: (licence, digest of the canonical form) of long texts; those with "terms" end at END OF TERMS AND CONDITIONS,
@@ -97,16 +105,48 @@ DIGESTS = [
     ("GFDL-1.3-only", "525fd4384869c81c4cbd264822942ae15202284aed28fb120ba01fc119dda9ff"),
 ]
 
-#: (licence, entire line); each names the word license, which the scan relies on.
-NOTICES = [
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Licensed under the MIT License."),
-    ("MIT", "SPDX-License-Identifier: MIT"),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
-    ("GPL-3.0-only", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0-only", "SPDX-License-Identifier: GPL-3.0-only"),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
-]
+
+def _names() -> list[tuple[str, str]]:
+    """(licence, name): how notices call licences, built from titles, versions and short forms."""
+    out = []
+
+    def add(licence: str, *names: str) -> None:
+        out.extend((licence, n) for n in (licence, *names))
+
+    for licence, title in (("MIT", "MIT"), ("MIT-0", "MIT No Attribution"), ("ISC", "ISC"), ("0BSD", "BSD Zero Clause"), ("Zlib", "zlib"),
+                           ("BSL-1.0", "Boost Software License 1.0"), ("Unlicense", "Unlicense"), ("WTFPL", "WTFPL")):
+        add(licence, title, f"{title} License")
+    add("BSL-1.0", "Boost Software License, Version 1.0")
+    for n, word in ((2, "Simplified"), (3, "New")):
+        add(f"BSD-{n}-Clause", f"BSD {n}-Clause License", f"{n}-Clause BSD License", f"{word} BSD License")
+    for short, title, versions in (
+        ("Apache", "Apache License", ["2.0"]),
+        ("MPL", "Mozilla Public License", ["1.1", "2.0"]),
+        ("EPL", "Eclipse Public License", ["1.0", "2.0"]),
+    ):
+        for v in versions:
+            forms = [f"{title}, Version {v}", f"{title} {v}", f"{title} v{v}", f"{short} {v}", f"{short} {v} License"]
+            add(f"{short}-{v}", *forms, *(f.replace(v, v.removesuffix(".0")) for f in forms[:3]))
+    for short, title, versions in (
+        ("GPL", "General Public License", ["1.0", "2.0", "3.0"]),
+        ("LGPL", "Lesser General Public License", ["2.1", "3.0"]),
+        ("AGPL", "Affero General Public License", ["3.0"]),
+    ):
+        for full in versions:
+            v = full.removesuffix(".0")
+            exact = [f"{g}{f}" for g in ("GNU ", "") for f in (f"{title}, version {v}", f"{title} v{full}", f"{title} v{v}",
+                     f"{short} version {v}", f"{short} v{v}", f"{short}v{v}", f"{short}-{full}")]
+            add(f"{short}-{full}-only", *exact, f"{exact[0]} only")
+            add(f"{short}-{full}-or-later", *(f"{e} or later" for e in exact), f"{exact[0]}, or (at your option) any later version")
+    kinds = {"by": "Attribution", "sa": "ShareAlike", "nc": "NonCommercial", "nd": "NoDerivatives"}
+    for parts in ("by", "by-sa", "by-nc", "by-nd", "by-nc-sa", "by-nc-nd"):
+        title = "-".join(kinds[k] for k in parts.split("-"))
+        for v in ("3.0", "4.0"):
+            tail = f"{title} {v} {'International' if v == '4.0' else 'Unported'}"
+            add(f"CC-{parts.upper()}-{v}", f"Creative Commons {tail} License", f"Creative Commons {tail}", f"Creative Commons {title} {v}")
+    add("CC0-1.0", "CC0", "CC0 1.0 Universal", "Creative Commons CC0 1.0 Universal", "Creative Commons Zero v1.0 Universal")
+    return list(dict.fromkeys(out))
+
+
+#: (licence, name) as they follow the opening of a notice.
+NAMES = _names()

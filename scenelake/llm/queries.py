@@ -126,6 +126,7 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
         "licence",
         F.array_join("notices", ",").alias("notices"),
         "n_notice_lines",
+        "n_reserved_lines",
     )
 
 

@@ -5,6 +5,7 @@ import zlib
 from functools import lru_cache
 from pathlib import Path
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -16,8 +17,8 @@ from tokenizers import Tokenizer
 from scenelake.llm.bpe import Encoder, decode, encode, encoder
 from scenelake.llm.html_text import extract, main_text
 from scenelake.llm.language_id import fit, has_letter, held_out, identify, learn
-from scenelake.llm.licence_texts import DIGESTS, LICENCES
-from scenelake.llm.licences import scan
+from scenelake.llm.licence_texts import DIGESTS, LICENCES, NAMES
+from scenelake.llm.licences import oracle, scan
 from scenelake.llm.packing import pack
 
 VOCABULARIES = ["word_bpe_49k.json", "byte_bpe_50k.json"]
@@ -141,21 +142,46 @@ def test_extract_rows(spark):
 
 
 def test_licences(documents):
-    mit, bsd = LICENCES[0][1], dict(LICENCES)["BSD-3-Clause"]
+    mit, bsd = LICENCES[0][1], next(t for i, t in LICENCES if i == "BSD-3-Clause")
+    notices = [
+        "released under the MIT Licence", "licensed under CC BY-NC 4.0.", "Released under the MIT License.",
+        "  * This software is distributed under the terms of the GNU General Public License, version 2 or later.",
+        "// SPDX-License-Identifier: MPL-2.0", "Use is licensed under the MIT License.", "licensed under somebody's terms",
+    ]
     rows = [
         (1, mit, None),
         (2, "Copyright (c) 2020 Some One\n\n" + mit.upper().replace("\n", "  \n"), None),
         (3, "# " + bsd.replace("COPYRIGHT HOLDER", "copyright owner"), None),
         (4, "before " + mit, None),
         (5, None, None),
-        (6, "text\n  released under the MIT Licence\nlicensed under CC BY-NC 4.0.\nReleased under the MIT License.", None),
+        (6, "text\n" + "\n".join(notices), None),
+        (7, "(The MIT License)\n\nCopyright Some One and others\n\n" + mit, None),
+        (7, mit, None),
+        (8, "word " * 200_000 + mit, None),
+        (9, "", None),
     ]
-    got = {r.id: r for r in scan(documents(rows)).collect()}
-    assert [got[i].licence for i in range(1, 7)] == ["MIT", "MIT", "BSD-3-Clause", None, None, None]
-    assert (got[6].notices, got[6].n_notice_lines) == (["CC-BY-NC-4.0", "MIT"], 3) and got[1].notices == []
+    got = scan(documents(rows)).collect()
+    by = {r.id: r for r in got if r.id != 7}
+    assert [by[i].licence for i in (1, 2, 3, 4, 5, 6, 8, 9)] == ["MIT", "MIT", "BSD-3-Clause", None, None, None, None, None]
+    assert [r.licence for r in got if r.id == 7] == ["MIT", "MIT"]
+    assert (by[6].notices, by[6].n_notice_lines) == (["CC-BY-NC-4.0", "GPL-2.0-or-later", "MIT", "MPL-2.0"], 5) and by[1].notices == []
     assert scan(documents(rows).limit(0)).count() == 0
 
 
+def test_licences_equal_their_sql(spark, documents):
+    """Documents that hit the hash join, and notices, in Spark and in SQL."""
+    rows = [(i, t, None) for i, (_, t) in enumerate(LICENCES)]
+    rows += [(100 + i, f"x\nLicensed under {'the ' * (i % 2)}{n}.\nAll Rights Reserved", None) for i, (_, n) in enumerate(NAMES)]
+    docs = documents(rows)
+    got = scan(docs).withColumn("notices", F.array_join("notices", ",")).withColumnRenamed("id", "doc_id").toPandas()
+    with duckdb.connect() as db:
+        db.register("documents", docs.toPandas())
+        want = db.execute(oracle("documents")).df()
+    key = lambda df: sorted(map(repr, df[sorted(df.columns)].astype(object).where(df.notna(), None).values.tolist()))
+    assert sorted(got.columns) == sorted(want.columns) and key(got) == key(want)
+    assert got.set_index("doc_id").licence[: len(LICENCES)].notna().all() and (got[got.doc_id >= 100].n_notice_lines == 1).all()
+
+
 def test_long_licences(documents):
     apache = (Path(__file__).parent / "apache_2.txt").read_text()
     terms = apache[: apache.index("APPENDIX")]
