@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import gzip
 import json
+import math
 import uuid
 import zipfile
 import zlib
@@ -24,14 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scenelake.llm import zip_archive
-from scenelake.llm.common import P, shared_dir, staged
+from scenelake.llm.common import P, delete_at_end, own_path, shuffle_partitions, staged
 
 #: Payloads below this many bytes are never written as revisits.
 MIN_REVISIT = 100
 #: A package is closed once its records have so many bytes.
 PACKAGE_BYTES = 256 << 20
-#: Ranges up to this many bytes of a package are read in one task.
+#: A task reads about so many bytes of packages, dealt in blocks of so many.
 READ_BYTES = 16 << 20
+BLOCK_BYTES = 1 << 20
 _DATA, _INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 _DATE = "1970-01-01T00:00:00Z"  # pages have no date of their own
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -108,16 +110,20 @@ def write(
     html_col: str = "html",
     min_revisit: int = MIN_REVISIT,
     package_bytes: int = PACKAGE_BYTES,
+    folder: str | None = None,
 ) -> DataFrame:
-    """(package, n_records): the packages that hold one record per row of ``pages``.
+    """(package, n_records, n_bytes): the packages that hold one record per row of ``pages``.
 
-    The payload is the html in UTF-8, null counting as empty.  Of equal payloads of ``min_revisit``
+    They are written to ``folder``; if none is given, to the shared folder until the driver ends.
+
+    The payload is the html in UTF-8, null counting as empty; a long one is held whole by its task.  Of equal payloads of ``min_revisit``
     bytes or more the smallest id is the response and others revisit it; rows that share the
     smallest id, rows without an id and smaller payloads are responses.  An empty table gives no
     package; other columns aren't read.
     """
     spark = pages.sparkSession
-    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    kept = folder is not None
+    folder = folder or own_path(spark, "warc")
     rows = pages.select(
         F.col(id_col).cast("long").alias("id"),
         F.col(url_col).alias("url"),
@@ -143,18 +149,19 @@ def write(
                 n += 1
                 if package.at >= package_bytes:
                     package.close()
-                    yield _row([f"{folder}/{name}"], [n])
+                    yield _row(f"{folder}/{name}", n, package.at)
                     package = None
         if package is not None:
             package.close()
-            yield _row([f"{folder}/{name}"], [n])
+            yield _row(f"{folder}/{name}", n, package.at)
 
-    def _row(names, counts):
-        return pa.RecordBatch.from_arrays(
-            [pa.array(names, pa.string()), pa.array(counts, pa.int64())], names=["package", "n_records"]
-        )
+    def _row(name, n, size):
+        return pa.RecordBatch.from_pylist([{"package": name, "n_records": n, "n_bytes": size}])
 
-    return staged(typed.mapInArrow(packages, "package string, n_records long"), "packages")
+    found = staged(typed.mapInArrow(packages, "package string, n_records long, n_bytes long"), "packages")
+    if not kept and not found.isEmpty():
+        delete_at_end(spark, folder)
+    return found
 
 
 class _Ranges:
@@ -235,9 +242,11 @@ def read(packages: DataFrame) -> DataFrame:
 
     ``payload_bytes`` and ``payload_digest`` are those of the full payload for revisits too.
     """
-    located = locate(packages)
-    block = F.floor(F.col("offset") / READ_BYTES)
-    dealt = located.repartition("package", block).sortWithinPartitions("package", "offset")
+    total = packages.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
+    # a given number, as rows here are small and what they stand for isn't
+    tasks = max(shuffle_partitions(packages.sparkSession), math.ceil(total / READ_BYTES))
+    block = F.floor(F.col("offset") / BLOCK_BYTES)
+    dealt = locate(packages).repartition(tasks, "package", block).sortWithinPartitions("package", "offset")
     schema = pa.schema(
         [
             ("id", pa.int64()),
