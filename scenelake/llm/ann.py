@@ -2,17 +2,20 @@
 
 Equal vectors form one class, so copies cost one index entry.  Coarse centroids and the codebooks
 of residual parts are fitted on a bounded sample; every class is filed under its nearest centroid
-with one byte per part.  A query visits its nearest lists; there, one table of asymmetric
-distances per query and list adds up the parts of all codes.  The best candidates by that estimate
-are reranked by the exact distance between the original vectors.
+with one byte per part.  A query visits its nearest lists.  The squared distance of a query to a
+coded vector is that to the list's centroid, plus a constant of the code, less twice the sum of the
+parts' products with the query; those products are the query's one table, whatever lists it visits.
+The best candidates by that estimate are reranked by the exact distance of the original vectors.
 
-Large lists are dealt out in slices of bounded size, so no list has to fit one task.
+Lists lie on shards of bounded size: small ones share a shard, large ones are dealt over several.  A
+query's vector goes once to every shard that it visits.  Each dimension has an index of its own.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +34,12 @@ CODEWORDS = 256
 MAX_LISTS = 4096
 #: A query visits as many lists as hold this share of the nearest vectors of trial queries, found by
 #: brute force in the sample; and so many trial queries.
-TARGET = 0.97
+TARGET = 0.95
 TRIALS = 256
 #: Candidates of a query that are reranked, up to so many classes; beyond, they grow with the fourth root.
 RERANK = 200
 RERANK_CLASSES = 2_000
-#: Index entries of a list that one task holds.
+#: Index entries of a shard.
 SLICE = 50_000
 _ROUNDS = 10
 
@@ -114,27 +117,50 @@ class Codebook:
         found = np.sort(ranks[np.arange(len(trials))[:, None], own[near]].ravel())
         return int(found[min(len(found) - 1, math.ceil(target * len(found)) - 1)]) + 1
 
-    def estimates(self, query: np.ndarray, at: int, codes: np.ndarray) -> np.ndarray:
-        """Asymmetric squared distances of one query to codes filed under list ``at``."""
-        residual = query - self.centroids[at]
+    def constants(self, lists: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """What the query has no part in: |codeword|**2 + 2 * centroid * codeword over all parts."""
         out = np.zeros(len(codes))
         for j, (a, b, w) in enumerate(zip(self.edges, self.edges[1:], self.words)):
-            out += ((w - residual[a:b]) ** 2).sum(1)[codes[:, j]]
+            own = w[codes[:, j]]
+            out += ((own + 2 * self.centroids[lists, a:b]) * own).sum(1)
+        return out
+
+    def tables(self, queries: np.ndarray) -> np.ndarray:
+        """(query, part, codeword): minus twice the products of a query's parts and the codewords."""
+        out = np.zeros((len(queries), len(self.words), max(len(w) for w in self.words)))
+        for j, (a, b, w) in enumerate(zip(self.edges, self.edges[1:], self.words)):
+            out[:, j, : len(w)] = -2 * queries[:, a:b] @ w.T
         return out
 
 
+def shards(held: dict[int, int], lists: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first, number) of shards of each list, for lists with ``held`` entries: a list above ``size`` has
+    shards of its own, others share one as long as it holds no more than ``size``."""
+    first, number, at, filled = np.zeros(lists, np.int64), np.ones(lists, np.int64), 0, 0
+    for i in range(lists):
+        n = held.get(i, 0)
+        if filled and filled + n > size:
+            at, filled = at + 1, 0
+        first[i], number[i] = at, max(1, math.ceil(n / size))
+        if n > size:
+            at, filled = at + number[i], 0
+        else:
+            filled += n
+    return first, number
+
+
 def _valid(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(id, vec): rows that take part, in double precision, of the most frequent dimension."""
-    rows = vectors.select(
-        F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec")
-    ).where(
-        F.col("id").isNotNull()
-        & F.col("vec").isNotNull()
-        & F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-        & F.exists("vec", lambda x: x != 0)
+    """(id, vec, dim): rows that take part, in double precision."""
+    return (
+        vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
+        .where(
+            F.col("id").isNotNull()
+            & F.col("vec").isNotNull()
+            & F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+            & F.exists("vec", lambda x: x != 0)
+        )
+        .withColumn("dim", F.size("vec"))
     )
-    sizes = rows.groupBy(F.size("vec").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
-    return rows.where(F.size("vec") == (sizes["dim"] if sizes else 0))
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -163,19 +189,30 @@ def search(
 
     ``is_query`` is a condition on the column ``id``.  ``score`` is the Euclidean distance of the
     original vectors in double precision; ties go to the smaller id.  Null, zero and non-finite
-    vectors, vectors of another dimension than most and rows without an id take no part.  Of rows
-    with equal id and vector one counts.  Fewer than ``k`` candidates are returned all; an empty
-    table gives no rows; other columns aren't read.  ``rerank`` is :func:`depth` of the classes if not given.
+    vectors and rows without an id take no part; vectors of different dimensions have no distance,
+    so each dimension is searched by itself.  Of rows with equal id and vector one counts.  Fewer than
+    ``k`` candidates are returned all; an empty table gives no rows; other columns aren't read.
+    Very long vectors count like others.  ``rerank`` is :func:`depth` of the classes if not given.
     """
-    spark = vectors.sparkSession
     rows = staged(_valid(vectors, id_col, vec_col).distinct(), "vectors")
+    dims = [r["dim"] for r in rows.select("dim").distinct().orderBy("dim").collect()]
+    found = [
+        _search(rows.where(F.col("dim") == d).select("id", "vec"), is_query, k, train, rerank, target, slice_rows)
+        for d in dims
+    ]
+    empty = vectors.sparkSession.createDataFrame([], "query long, rank int, id long, score double")
+    return reduce(DataFrame.unionByName, found) if found else empty
+
+
+def _search(
+    rows: DataFrame, is_query: Column, k: int, train: int, rerank: int | None, target: float, slice_rows: int
+) -> DataFrame:
+    """:func:`search` among the vectors of one dimension."""
+    spark = rows.sparkSession
     classes = staged(
         rows.groupBy("vec").agg(F.min("id").alias("rep"), F.max(is_query).alias("asked")), "vector-classes"
     )
     n = classes.count()
-    result = "query long, rank int, id long, score double"
-    if not n:
-        return spark.createDataFrame([], result)
     rerank = depth(n) if rerank is None else rerank
     lists = min(MAX_LISTS, max(1, 1 << round(math.log2(math.sqrt(n) / 2 + 1))))
     share = F.pmod(F.xxhash64(F.lit(2), "rep"), F.lit(1 << 30)) / float(1 << 30)
@@ -202,61 +239,81 @@ def search(
 
     index = staged(classes.select("rep", "vec").mapInArrow(filed, "list int, rep long, code binary"), "index")
     held = {r["list"]: r["n"] for r in index.groupBy("list").agg(F.count("*").alias("n")).collect()}
-    slices = np.array([max(1, math.ceil(held.get(i, 0) / slice_rows)) for i in range(lists)], np.int64)
+    first, number = shards(held, lists, slice_rows)
     probes = book.needed(points, k, target)
 
     def asked(it):
         for batch in it:
             if batch.num_rows:
                 at = shared.value.probes(_matrix(batch.column(1)), probes)
-                who = np.repeat(np.arange(len(at)), at.shape[1])
-                at = at.ravel()
-                times = slices[at]
-                part = np.concatenate([np.arange(t) for t in times])
-                who, at = np.repeat(who, times), np.repeat(at, times)
+                out = {"shard": [], "who": [], "lists": []}
+                for who, own in enumerate(np.sort(at, axis=1)):
+                    shard = np.repeat(first[own], number[own])
+                    shard += np.concatenate([np.arange(m) for m in number[own]])
+                    own = np.repeat(own, number[own])
+                    edges = np.flatnonzero(np.diff(shard, prepend=-1))  # shards rise with lists
+                    out["shard"].extend(shard[edges].tolist())
+                    out["who"].extend([who] * len(edges))
+                    out["lists"].extend(x.astype("<i4").tobytes() for x in np.split(own, edges[1:]))
+                who = pa.array(out["who"], pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(at.astype(np.int32)),
-                        pa.array(part.astype(np.int32)),
-                        batch.column(0).take(pa.array(who)),
-                        batch.column(1).take(pa.array(who)),
+                        pa.array(out["shard"], pa.int64()),
+                        batch.column(0).take(who),
+                        pa.array(out["lists"], pa.binary()),
+                        batch.column(1).take(who),
                     ],
-                    names=["list", "part", "query", "vec"],
+                    names=["shard", "query", "lists", "vec"],
                 )
 
     queries = classes.where("asked").select("rep", "vec")
-    visits = queries.mapInArrow(asked, "list int, part int, query long, vec array<double>")
-    n_slices = F.element_at(F.array(*(F.lit(int(s)) for s in slices)), F.col("list") + 1)
-    dealt = index.withColumn("part", F.pmod(F.xxhash64("rep"), n_slices).cast("int")).select(
-        "list", "part", "rep", "code"
+    visits = queries.mapInArrow(asked, "shard long, query long, lists binary, vec array<double>")
+    place = F.array(*(F.struct(F.lit(int(a)).alias("first"), F.lit(int(b)).alias("number")) for a, b in zip(first, number)))
+    own = F.element_at(place, F.col("list") + 1)  # lists are bounded by MAX_LISTS
+    dealt = index.select(
+        (own["first"] + F.pmod(F.xxhash64("rep"), own["number"])).cast("long").alias("shard"), "list", "rep", "code"
     )
 
     def scored(key, ours, theirs):
-        reps = theirs["rep"].to_numpy()
-        out_q, out_c, out_d = [], [], []
-        if len(reps) and ours.num_rows:
+        out_q, out_c, out_d = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
+        if theirs.num_rows and ours.num_rows:
+            book = shared.value
+            lists, reps = theirs["list"].to_numpy(), theirs["rep"].to_numpy()
             codes = np.frombuffer(b"".join(theirs["code"].to_pylist()), np.uint8).reshape(len(reps), -1)
-            order = np.argsort(reps)
-            reps, codes = reps[order], codes[order]
-            points = _matrix(ours["vec"].combine_chunks())
-            for q, point in zip(ours["query"].to_pylist(), points):
-                d = shared.value.estimates(point, key[0].as_py(), codes)
-                best = np.argsort(d, kind="stable")[:rerank] if len(d) > rerank else np.arange(len(d))
-                out_q.append(np.full(len(best), q))
-                out_c.append(reps[best])
-                out_d.append(d[best])
-        none = np.empty(0, np.int64)
+            order = np.lexsort((reps, lists))
+            lists, reps, codes = lists[order], reps[order], np.ascontiguousarray(codes[order].T)
+            constants = book.constants(lists, codes.T)
+            known, starts = np.unique(lists, return_index=True)
+            span = {int(i): (a, b) for i, a, b in zip(known, starts, [*starts[1:], len(lists)])}
+            for block in ours.to_batches(max_chunksize=256):
+                points = _matrix(block.column("vec"))
+                tables = book.tables(points)
+                for q, own, point, table in zip(
+                    block.column("query").to_pylist(), block.column("lists").to_pylist(), points, tables
+                ):
+                    visited = [(i, *span[i]) for i in np.frombuffer(own, "<i4").tolist() if i in span]
+                    if not visited:
+                        continue
+                    at = np.concatenate([np.arange(a, b) for _, a, b in visited])
+                    centres = ((point - book.centroids[[i for i, _, _ in visited]]) ** 2).sum(1)
+                    d = constants[at] + np.repeat(centres, [b - a for _, a, b in visited])
+                    for j, part in enumerate(table):
+                        d += part[codes[j, at]]
+                    best = np.argsort(d, kind="stable")[:rerank]
+                    out_q.append(np.full(len(best), q))
+                    out_c.append(reps[at[best]])
+                    out_d.append(d[best])
         return pa.table(
             {
-                "query": pa.array(np.concatenate([none, *out_q]).astype(np.int64)),
-                "rep": pa.array(np.concatenate([none, *out_c]).astype(np.int64)),
-                "estimate": pa.array(np.concatenate([none, *out_d]).astype(float)),
+                "query": pa.array(np.concatenate(out_q).astype(np.int64)),
+                "rep": pa.array(np.concatenate(out_c).astype(np.int64)),
+                "estimate": pa.array(np.concatenate(out_d)),
             }
         )
 
     found = (
-        visits.groupBy("list", "part")
-        .cogroup(dealt.groupBy("list", "part"))
+        visits.groupBy("shard")
+        .cogroup(dealt.groupBy("shard"))
         .applyInArrow(scored, "query long, rep long, estimate double")
     )
     near = Window.partitionBy("query").orderBy("estimate", "rep")

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scenelake.llm import warc, zip_archive
-from scenelake.llm.ann import depth, search
+from scenelake.llm.ann import Codebook, depth, search, shards
 
 
 class Bytes:
@@ -97,6 +97,41 @@ def test_search_is_exact_with_all_lists(spark):
     assert [(r.query, r.rank, r.id) for r in few] == [(20, 1, 1)]
 
 
+def test_every_dimension_is_searched(spark):
+    rng = np.random.default_rng(8)
+    points = {i: rng.normal(size=(3, 8, 700)[i % 3]) for i in range(120)}
+    vectors = spark.createDataFrame([(i, p.tolist()) for i, p in points.items()], "vec_id long, embedding array<double>")
+    got = search(vectors, F.col("id") % 20 == 0, target=1.0, rerank=100).collect()
+    for q in range(0, 120, 20):
+        d = {i: float(np.sqrt(((p - points[q]) ** 2).sum())) for i, p in points.items() if i != q and len(p) == len(points[q])}
+        want = sorted(d, key=lambda i: (d[i], i))[:10]
+        assert [r.id for r in sorted(got) if r.query == q] == want
+    assert len(got) == 60
+
+
+def test_estimates_are_distances_to_coded_vectors():
+    rng = np.random.default_rng(9)
+    points = rng.normal(size=(500, 12))
+    book = Codebook.fit(points, 8, 4, 16)
+    lists, codes = book.encode(points)
+    coded = book.centroids[lists] + np.concatenate([w[codes[:, j]] for j, w in enumerate(book.words)], 1)
+    for q, table in zip(points[:5], book.tables(points[:5])):
+        d = ((q - book.centroids[lists]) ** 2).sum(1) + book.constants(lists, codes)
+        d += sum(part[codes[:, j]] for j, part in enumerate(table))
+        assert np.allclose(d, ((q - coded) ** 2).sum(1))
+
+
+def test_shards_are_bounded():
+    held = {0: 5, 1: 3, 2: 25, 3: 1, 5: 10, 6: 1}
+    first, number = shards(held, 7, 10)
+    assert number.tolist() == [1, 1, 3, 1, 1, 1, 1] and first.tolist()[:3] == [0, 0, 1]
+    load = {}
+    for i in range(7):
+        for k in range(number[i]):
+            load[first[i] + k] = load.get(first[i] + k, 0) + held.get(i, 0) / number[i]
+    assert max(load.values()) <= 10 and round(sum(load.values()), 6) == sum(held.values())
+
+
 def test_search_recall(spark):
     table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     got = search(table, F.col("id") % 100 == 0).collect()
