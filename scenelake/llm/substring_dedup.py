@@ -10,9 +10,10 @@ of its words modulo the prime 2**61 - 1, rolled over a whole chunk at once.  Thr
 3. Remove: a chunk marks the windows that start in a smaller document, elsewhere or here, and merges
    them into maximal removal intervals.
 
-A passage that many documents share costs one entry for each chunk, in whatever number of copies.
+A passage that many documents share costs one entry for each chunk, in whatever number of copies.  Only
+as many bits of a hash are sent as the number of windows asks for, in byte planes that compress well.
 Windows of one Rabin-Karp hash count as equal only if the hashes of their words, which have nothing to
-do with the polynomial, agree as well, inside a chunk and between chunks.
+do with the polynomial, agree as well, inside a chunk and between chunks: some 100 bits and more.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ _BASE = 0x1E3779B97F4A7C15
 #: Characters of text in a chunk, and windows in a bucket, by expectation.
 CHUNK_CHARS = 4_000_000
 BUCKET_WINDOWS = 500_000
+#: Bits of the Rabin-Karp hash beyond those that number the windows: one window in 2**12 is claimed in vain.
+SPARE_BITS = 12
 #: Words whose hashes a worker remembers.
 _REMEMBERED = 300_000
 
@@ -193,6 +196,14 @@ def _first_ids(*keys_and_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, ids[order][new][np.cumsum(new) - 1] if len(order) else ids
 
 
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """The different numbers in order; sorting is faster here than the library's hash table."""
+    values = np.sort(values)
+    new = np.ones(len(values), bool)
+    new[1:] = values[1:] != values[:-1]
+    return values[new]
+
+
 def _is_in(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     """Which of ``values`` are among ``known``, sorted numbers."""
     if not len(known):
@@ -222,7 +233,7 @@ def _counted(rows: DataFrame, rules: _Rules) -> DataFrame:
     """(bucket, chunk, data): for each chunk its window hashes that other chunks have too."""
 
     def send(key, table):
-        own = np.unique(_Chunk(table[_ID].to_pylist(), table[_TEXT], rules).hashes)
+        own = _distinct(_Chunk(table[_ID].to_pylist(), table[_TEXT], rules).hashes)
         return _blocks(bucket_of(own, rules.buckets), np.full(len(own), key[0].as_py()), own)
 
     def meet(key, table):
@@ -274,10 +285,9 @@ def _marked(own: _Chunk, told: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.
     """Windows to remove: their words also start in a smaller document, told of or in this chunk."""
     hashes, digests, ids = told
     ids = ids.view(np.int64)
-    order = np.argsort(own.hashes, kind="stable")
-    again = np.zeros(len(order), bool)
-    again[order] = _repeated(own.hashes[order])
-    which = np.flatnonzero(again | _is_in(own.hashes, np.sort(hashes)))
+    ordered = np.sort(own.hashes)
+    again = ordered[1:][ordered[1:] == ordered[:-1]]
+    which = np.flatnonzero(_is_in(own.hashes, again) | _is_in(own.hashes, np.sort(hashes)))
     n = len(which)
     docs = np.concatenate((own.docs[which], ids))
     order, first = _first_ids(
@@ -306,7 +316,7 @@ def _removed(
     window: int,
     chunk_chars: int,
     bucket_windows: int,
-    hash_bits: int,
+    hash_bits: int | None,
     carried: list[str],
 ) -> DataFrame:
     """The carried columns, then id, n_words, n_removed, kept and spans with scratch names."""
@@ -314,6 +324,8 @@ def _removed(
     chars = total_chars(docs, text_col)
     chunks = max(shuffle_partitions(spark), math.ceil(chars / chunk_chars))
     buckets = max(4 * shuffle_partitions(spark), math.ceil(chars / 6 / bucket_windows))
+    if hash_bits is None:
+        hash_bits = min(61, max(32, math.ceil(math.log2(chars / 6 + 1)) + SPARE_BITS))
     rules = _Rules(window, buckets, hash_bits)
     rows = _dealt(docs, id_col, text_col, chunks, carried)
     told = _settled(rows, _counted(rows, rules), rules)
@@ -366,7 +378,7 @@ def remove_repeats(
     window: int = WINDOW,
     chunk_chars: int = CHUNK_CHARS,
     bucket_windows: int = BUCKET_WINDOWS,
-    hash_bits: int = 61,
+    hash_bits: int | None = None,
 ) -> DataFrame:
     """(id, n_words, n_removed, kept, spans) for every row of ``docs``.
 
@@ -377,7 +389,8 @@ def remove_repeats(
     from others; rows of equal id don't affect each other; an empty table gives no rows; other
     columns aren't read.  A long text is held whole, with its words, by the task of its chunk.
 
-    Fewer ``hash_bits`` of the Rabin-Karp hash cost more claims and give the same result.
+    ``hash_bits`` of the Rabin-Karp hash are used, by default as many as the input's size asks for;
+    fewer cost more claims and give the same result.
     """
     found = _removed(docs, id_col, text_col, window, chunk_chars, bucket_windows, hash_bits, [])
     return found.select(*(F.col(f"{P}{c}").alias(c) for c in ("id", "n_words", "n_removed", "kept", "spans")))
@@ -391,6 +404,6 @@ def without_repeats(
     Texts that lose nothing stay as they are, null ones too; texts that lose every word become
     empty.  The rules are those of :func:`remove_repeats`.
     """
-    found = _removed(docs, id_col, text_col, window, CHUNK_CHARS, BUCKET_WINDOWS, 61, docs.columns)
+    found = _removed(docs, id_col, text_col, window, CHUNK_CHARS, BUCKET_WINDOWS, None, docs.columns)
     new = F.when(F.col(f"{P}n_removed") > 0, F.col(f"{P}kept")).otherwise(F.col(text_col))
     return found.select(*(new.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))
