@@ -1,6 +1,7 @@
 """Lanes: polylines, projection into road frames, nearest lanes, conflicts and activity.
 
-Lanes join scenarios by their slot; every join has an equality key.
+Lanes lie on maps, and every scenario on one: (scenario_id, map_id).  Joins have equality keys: the
+lane, the map, or a grid cell of it.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from scenelake.functions.geometry import dist, exact_mean, norm
 from scenelake.operators.kinematics import AGENT
+from scenelake.operators.pairs import NEIGHBOURS
 
 EPS = 1e-8
 
@@ -84,15 +86,13 @@ def to_road(places: DataFrame, lanes_segments: DataFrame, keys: list[str], clamp
 
 
 def to_cartesian(road: DataFrame, lanes_segments: DataFrame, keys: list[str]) -> DataFrame:
-    """(cx, cy) of road-frame places: the last segment that starts at or before s."""
-    seg = F.struct(F.col("seg_s").alias("s"), "sg", "ax", "ay", "bx", "by", "len")
-    own = lanes_segments.where(F.col("len") > 0).withColumnRenamed("s", "seg_s").withColumnRenamed("seg", "sg")
-    best = (
-        road.join(own, "lane_id")
-        .where(F.col("seg_s") <= F.col("s") + 1e-9)
-        .groupBy(*keys, "lane_id", "s", "d")
-        .agg(F.max(seg).alias("g"))
-    )
+    """(cx, cy) of road-frame places: the last segment that starts at or before s, of a lane's
+    segments as one array; places before the first have none."""
+    fields = ("s", "seg", "ax", "ay", "bx", "by", "len")
+    solid = lanes_segments.where(F.col("len") > 0)
+    lines = solid.groupBy("lane_id").agg(F.collect_list(F.struct(*fields)).alias("line"))
+    before = F.filter("line", lambda g: g["s"] <= F.col("s") + 1e-9)
+    best = road.join(lines, "lane_id").select(*keys, "lane_id", "s", "d", F.array_max(before).alias("g")).where("g is not null")
     ux = (F.col("g.bx") - F.col("g.ax")) / F.col("g.len")
     uy = (F.col("g.by") - F.col("g.ay")) / F.col("g.len")
     along = F.col("s") - F.col("g.s")
@@ -101,64 +101,113 @@ def to_cartesian(road: DataFrame, lanes_segments: DataFrame, keys: list[str]) ->
     )
 
 
-def with_lanes(tracks: DataFrame, lanes: DataFrame) -> DataFrame:
+def with_lanes(maps: DataFrame, lanes: DataFrame) -> DataFrame:
     """Every scenario with each of its lanes: (scenario_id, lane_id)."""
-    scenes = tracks.select("scenario_id", (F.col("scenario_id") % 15).alias("slot")).distinct()
-    return scenes.join(lanes.select("lane_id", "slot"), "slot").drop("slot")
+    return maps.join(lanes.select("lane_id", "map_id"), "map_id").drop("map_id")
+
 
+_VERTEX = ("pt", "vx", "vy", "px", "py", "nx", "ny")
 
-def nearest(tracks: DataFrame, lanes: DataFrame, points: DataFrame, k: int | None = 16, reach: float = 10.0) -> DataFrame:
-    """The ``k`` lanes nearest to each valid step: by the nearest vertex, or within ``reach`` of it
-    by the projection on the better adjacent segment if it falls inside.  Without ``k``, all lanes
-    and no ranks."""
+
+def vertices(points: DataFrame) -> DataFrame:
+    """Every lane point with the points before and after it."""
     w = _points_window()
-    around = points.select(
+    return points.select(
         "lane_id", "pt", F.col("x").alias("vx"), F.col("y").alias("vy"),
         *(f(c).over(w).alias(f"{n}{c}") for c in "xy" for n, f in (("p", F.lag), ("n", F.lead))),
     )
-    fields = ("pt", "vx", "vy", "px", "py", "nx", "ny")
-    # a lane's vertices are one array, so a step and a lane make one row and need no aggregate
-    lines = around.groupBy("lane_id").agg(F.collect_list(F.struct(*fields)).alias("line"))
+
+
+def _to_vertex(v: Column) -> Column:
+    """A vertex with its distance first, for the least of several."""
+    d = dist(F.col("x"), F.col("y"), v["vx"], v["vy"])
+    return F.struct(F.round(d, 6).alias("d"), *(v[f].alias(f) for f in _VERTEX))
+
+
+def _to_lane(v: Column, reach: float) -> Column:
+    """(d, place, qx, qy): the vertex, or within ``reach`` of it the nearer projection on an adjacent
+    segment if that falls inside."""
     x, y = F.col("x"), F.col("y")
-    step = [*AGENT, "t"]
 
-    def vertex(v: Column) -> Column:
-        return F.struct(F.round(dist(x, y, v["vx"], v["vy"]), 6).alias("d"), *(v[f].alias(f) for f in fields))
+    def along(place: int, ox: Column, oy: Column) -> Column:
+        ux, uy = ox - v["vx"], oy - v["vy"]
+        u = F.try_divide((x - v["vx"]) * ux + (y - v["vy"]) * uy, ux * ux + uy * uy)
+        qx, qy = v["vx"] + u * ux, v["vy"] + u * uy
+        inside = u.between(0, 1) & (v["d"] <= reach)
+        return F.when(inside, F.struct(F.round(dist(x, y, qx, qy), 6).alias("d"), F.lit(place).alias("place"), qx.alias("qx"), qy.alias("qy")))
 
-    scene_lines = with_lanes(tracks, lanes).join(lines, "lane_id")
-    best = (
-        tracks.where("valid")
-        .join(scene_lines, "scenario_id")
-        .select(*step, "lane_id", "x", "y", F.array_min(F.transform("line", vertex)).alias("v"))
-    )
+    own = F.struct(v["d"].alias("d"), F.lit(0).alias("place"), v["vx"].alias("qx"), v["vy"].alias("qy"))
+    return F.array_min(F.filter(F.array(own, along(1, v["nx"], v["ny"]), along(2, v["px"], v["py"])), lambda q: q.isNotNull()))
 
-    def along(ox: Column, oy: Column) -> Column:
-        ux, uy = ox - F.col("v.vx"), oy - F.col("v.vy")
-        u = F.try_divide((x - F.col("v.vx")) * ux + (y - F.col("v.vy")) * uy, ux * ux + uy * uy)
-        d = dist(x, y, F.col("v.vx") + u * ux, F.col("v.vy") + u * uy)
-        return F.when(u.between(0, 1), d)
 
-    ahead, behind = along(F.col("v.nx"), F.col("v.ny")), along(F.col("v.px"), F.col("v.py"))
-    d = F.when(F.col("v.d") <= reach, F.least(F.col("v.d"), ahead, behind)).otherwise(F.col("v.d"))
-    far = best.withColumn("d", F.round(d, 6))
-    if k is None:
-        return far.select(*step, "lane_id", "d")
-    ranked = far.withColumn("rank", F.row_number().over(Window.partitionBy(*step).orderBy("d", "lane_id")))
-    return ranked.where(F.col("rank") <= k).select(*step, "rank", "lane_id", "d")
+def distances(tracks: DataFrame, maps: DataFrame, lanes: DataFrame, points: DataFrame, reach: float = 10.0) -> DataFrame:
+    """(step, lane_id, x, y, d, qx, qy): each valid step and each lane of its map, with the lane's
+    nearest point."""
+    # a lane's vertices are one array, so a step and a lane make one row and need no aggregate
+    lines = vertices(points).groupBy("lane_id").agg(F.collect_list(F.struct(*_VERTEX)).alias("line"))
+    scene_lines = with_lanes(maps, lanes).join(lines, "lane_id")
+    best = tracks.where("valid").join(scene_lines, "scenario_id").withColumn("v", F.array_min(F.transform("line", _to_vertex)))
+    return best.withColumn("q", _to_lane(F.col("v"), reach)).select(*AGENT, "t", "lane_id", "x", "y", "q.d", "q.qx", "q.qy")
+
+
+def nearest(
+    tracks: DataFrame, maps: DataFrame, lanes: DataFrame, points: DataFrame, k: int | None = 16, reach: float = 10.0
+) -> DataFrame:
+    """The ``k`` lanes nearest to each valid step.  Without ``k``, all lanes and no ranks."""
+    far = distances(tracks, maps, lanes, points, reach).select(*AGENT, "t", "lane_id", "d")
+    return far if k is None else _ranked(far).where(F.col("rank") <= k)
+
+
+def _ranked(far: DataFrame) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy(*AGENT, "t").orderBy("d", "lane_id"))
+    return far.withColumn("rank", rank).select(*AGENT, "t", "rank", "lane_id", "d")
+
+
+def near(
+    tracks: DataFrame, maps: DataFrame, lanes: DataFrame, points: DataFrame, within: float = 5.0, reach: float = 10.0
+) -> DataFrame:
+    """The lanes within ``within`` metres of each valid step, by distance: what :func:`nearest` gives
+    up to there, for ``within`` below ``reach``.
+
+    A vertex that decides such a lane lies within ``reach``, so the steps meet only the vertices in
+    their grid cell and its neighbours, not all lanes of the map.
+    """
+    cell = lambda x, y: [F.floor(F.col(c) / reach).alias(n) for c, n in ((x, "gx"), (y, "gy"))]
+    grid = vertices(points).join(lanes.select("lane_id", "map_id"), "lane_id").select("map_id", "lane_id", *_VERTEX, *cell("vx", "vy"))
+    here = tracks.where("valid").join(maps, "scenario_id").select("map_id", *AGENT, "t", "x", "y", *cell("x", "y"), NEIGHBOURS.alias("o"))
+    here = here.withColumns({"gx": F.col("gx") + F.col("o.a"), "gy": F.col("gy") + F.col("o.b")}).drop("o")
+    met = here.join(grid, ["map_id", "gx", "gy"]).withColumn("v", _to_vertex(F.struct(*_VERTEX))).where(F.col("v.d") <= reach)
+    best = met.groupBy(*AGENT, "t", "x", "y", "lane_id").agg(F.min("v").alias("v"))
+    far = best.withColumn("q", _to_lane(F.col("v"), reach)).select(*AGENT, "t", "lane_id", "q.d").where(F.col("d") <= within)
+    return _ranked(far)
+
+
+def similarity(far: DataFrame, floor: float = 1e-8) -> DataFrame:
+    """(agent, lane_id, sim): 1 / (D1 + D2) of the rows of :func:`distances`.
+
+    D1 is the mean distance to the lane, D2 the mean distance of the steps to the lane's points moved
+    by the offset of the last step: it compares shapes.  An agent has 91 steps at most.
+    """
+    offsets = F.sort_array(F.collect_list(F.struct("t", *((F.col(c) - F.col(f"q{c}")).alias(c) for c in "xy"))))
+    own = far.groupBy(*AGENT, "lane_id").agg(F.round(exact_mean(F.col("d")), 8).alias("d1"), offsets.alias("o"))
+    last = F.element_at("o", -1)
+    moved = F.aggregate("o", F.lit(0.0), lambda a, o: a + dist(o["x"], o["y"], last["x"], last["y"]))
+    d2 = F.round(moved / F.size("o"), 8)
+    return own.select(*AGENT, "lane_id", F.round(1 / F.greatest(F.col("d1") + d2, F.lit(floor)), 6).alias("sim"))
 
 
 def intersections(points: DataFrame, lanes: DataFrame, radius: float = 0.05) -> DataFrame:
-    """Pairs of lanes of a slot with points within ``radius``, but for consecutive ones.
+    """Pairs of lanes of a map with points within ``radius``, but for consecutive ones.
 
     Cells as wide as the radius are the equality key: a lane's cells and their neighbours join the
     cells of others."""
     cell = [F.floor(F.col(c) / radius).alias(f"c{c}") for c in "xy"]
-    own = points.join(lanes, "lane_id").select("slot", "lane_id", "exit_lane", "x", "y", *cell)
-    around = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)))).alias("o")
-    left = own.select("slot", F.col("lane_id").alias("i"), F.col("exit_lane").alias("exit_i"), F.col("x").alias("xi"), F.col("y").alias("yi"), "cx", "cy", around)
+    own = points.join(lanes, "lane_id").select("map_id", "lane_id", "exit_lane", "x", "y", *cell)
+    around = NEIGHBOURS.alias("o")
+    left = own.select("map_id", F.col("lane_id").alias("i"), F.col("exit_lane").alias("exit_i"), F.col("x").alias("xi"), F.col("y").alias("yi"), "cx", "cy", around)
     left = left.withColumns({"cx": F.col("cx") + F.col("o.a"), "cy": F.col("cy") + F.col("o.b")}).drop("o")
-    right = own.select("slot", F.col("lane_id").alias("j"), F.col("x").alias("xj"), F.col("y").alias("yj"), "cx", "cy")
-    met = left.join(right, ["slot", "cx", "cy"]).where(
+    right = own.select("map_id", F.col("lane_id").alias("j"), F.col("x").alias("xj"), F.col("y").alias("yj"), "cx", "cy")
+    met = left.join(right, ["map_id", "cx", "cy"]).where(
         (F.col("i") < F.col("j")) & (F.col("j") != F.col("exit_i")) & (dist(F.col("xi"), F.col("yi"), F.col("xj"), F.col("yj")) < radius)
     )
     return met.groupBy("i", "j").agg(F.count("*").alias("n_points"))

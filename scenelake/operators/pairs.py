@@ -36,16 +36,26 @@ def ordered(tracks: DataFrame) -> DataFrame:
     return _side(a, "i", []).join(_side(a, "j", []), "scenario_id").where("i <> j")
 
 
-def aligned(tracks: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Pairs i < j at every step where both are valid, with ``columns`` of both and the distance."""
+def aligned(tracks: DataFrame, columns: list[str] | None = None, other: DataFrame | None = None) -> DataFrame:
+    """Pairs i < j at every step where both are valid, with ``columns`` of both and the distance.
+
+    With ``other``, i is of ``tracks`` and j of ``other``, and a pair comes in both orders.
+    """
     columns = ["x", "y", *(columns or [])]
-    v = tracks.where("valid")
-    left = _side(v.withColumn("t_", F.col("t")), "i", ["t_", *columns]).withColumnRenamed("t__i", "t")
-    right = _side(v.withColumn("t_", F.col("t")), "j", ["t_", *columns]).withColumnRenamed("t__j", "t")
-    both = left.join(right, ["scenario_id", "t"]).where("i < j")
+
+    def steps_of(df: DataFrame, name: str) -> DataFrame:
+        side = _side(df.where("valid").withColumn("t_", F.col("t")), name, ["t_", *columns])
+        return side.withColumnRenamed(f"t__{name}", "t")
+
+    both = steps_of(tracks, "i").join(steps_of(tracks if other is None else other, "j"), ["scenario_id", "t"])
+    both = both.where(_related(other))
     return both.withColumn("d", dist(F.col("x_i"), F.col("y_i"), F.col("x_j"), F.col("y_j")))
 
 
+def _related(other: DataFrame | None) -> Column:
+    return F.col("i") < F.col("j") if other is None else F.col("i") != F.col("j")
+
+
 def encounters(tracks: DataFrame, within: float = 100.0) -> DataFrame:
     """Pairs that never part by ``within`` metres or more, with their common span."""
     return (
@@ -86,17 +96,24 @@ def status(
     return pairs.join(met, PAIR, "left").select(*PAIR, gate.alias("status"), "min_d", "n_aligned")
 
 
-def collisions(tracks: DataFrame, within: float = 0.25) -> DataFrame:
-    """Steps at which two agents come within ``within`` metres or their last segments meet."""
+def with_previous(tracks: DataFrame) -> DataFrame:
+    """Valid steps with the valid position before."""
     w = steps()
-    seg = tracks.where("valid").withColumns({"px": F.lag("x").over(w), "py": F.lag("y").over(w), "valid": F.lit(True)})
-    both = aligned(seg, ["px", "py"])
+    return tracks.where("valid").withColumns({"px": F.lag("x").over(w), "py": F.lag("y").over(w)})
+
+
+def _hit(within: float) -> Column:
     meet = segments_meet(*(F.col(c) for c in ("px_i", "py_i", "x_i", "y_i", "px_j", "py_j", "x_j", "y_j")))
-    hit = (F.col("d") <= within) | F.coalesce(meet, F.lit(False))
-    return both.where(hit).groupBy(*PAIR).agg(F.count("*").alias("n_hits"), F.min("t").alias("first_t"))
+    return (F.col("d") <= within) | F.coalesce(meet, F.lit(False))
 
 
-def crossings(tracks: DataFrame, within: float = 1.0) -> DataFrame:
+def collisions(tracks: DataFrame, within: float = 0.25) -> DataFrame:
+    """Steps at which two agents come within ``within`` metres or their last segments meet."""
+    both = aligned(with_previous(tracks), ["px", "py"])
+    return both.where(_hit(within)).groupBy(*PAIR).agg(F.count("*").alias("n_hits"), F.min("t").alias("first_t"))
+
+
+def crossings(tracks: DataFrame, within: float = 1.0, other: DataFrame | None = None) -> DataFrame:
     """(scenario_id, i, j, ti, tj): for each step of i, the first step of j within ``within`` metres.
 
     A grid of cells as wide as the radius turns the distance into an equality key: i's cell and its
@@ -104,27 +121,29 @@ def crossings(tracks: DataFrame, within: float = 1.0) -> DataFrame:
     """
     v = tracks.where("valid")
     cell = [F.floor(F.col(c) / within).alias(f"c{c}") for c in "xy"]
-    right = v.select("scenario_id", F.col("agent_id").alias("j"), F.col("t").alias("tj"), F.col("x").alias("xj"), F.col("y").alias("yj"), *cell)
+    right = (v if other is None else other.where("valid")).select("scenario_id", F.col("agent_id").alias("j"), F.col("t").alias("tj"), F.col("x").alias("xj"), F.col("y").alias("yj"), *cell)
     around = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)))).alias("o")
     left = v.select("scenario_id", F.col("agent_id").alias("i"), F.col("t").alias("ti"), F.col("x").alias("xi"), F.col("y").alias("yi"), *cell, around)
     left = left.withColumns({"cx": F.col("cx") + F.col("o.a"), "cy": F.col("cy") + F.col("o.b")}).drop("o")
     near = left.join(right, ["scenario_id", "cx", "cy"]).where(
-        (F.col("i") < F.col("j")) & (dist(F.col("xi"), F.col("yi"), F.col("xj"), F.col("yj")) <= within)
+        _related(other) & (dist(F.col("xi"), F.col("yi"), F.col("xj"), F.col("yj")) <= within)
     )
     return near.groupBy(*PAIR, "ti").agg(F.min("tj").alias("tj"), F.first("xi").alias("cx"), F.first("yi").alias("cy"))
 
 
-def leads(moving: DataFrame) -> DataFrame:
-    """aligned() with length, speed and who leads: j leads i if it is within 90 degrees of i's heading."""
-    both = aligned(moving, ["heading", "speed", "length"])
+def _ahead() -> Column:
+    """j leads i if it is within 90 degrees of i's heading."""
     bearing = F.degrees(F.atan2(F.col("y_j") - F.col("y_i"), F.col("x_j") - F.col("x_i")))
-    ahead = heading_difference(F.degrees("heading_i"), bearing) <= 90
-    return both.withColumn("j_leads", ahead)
+    return heading_difference(F.degrees("heading_i"), bearing) <= 90
 
 
-def following(moving: DataFrame, e2: float = 1e-4) -> DataFrame:
-    """THW, TTC and DRAC of every common step of a pair; infinity and 0 where undefined."""
-    both = leads(moving)
+def leads(moving: DataFrame) -> DataFrame:
+    """aligned() with heading, length, speed and who leads."""
+    return aligned(moving, ["heading", "speed", "length"]).withColumn("j_leads", _ahead())
+
+
+def _measures(e2: float = 1e-4) -> dict[str, Column]:
+    """THW, TTC and DRAC of a row of leads(); infinity and 0 where undefined."""
 
     def of(name: str, leader: bool) -> Column:
         a, b = ("j", "i") if leader else ("i", "j")
@@ -134,21 +153,25 @@ def following(moving: DataFrame, e2: float = 1e-4) -> DataFrame:
     xl, yl, xf, yf = of("x", True), of("y", True), of("x", False), of("y", False)
     gap = dist(xl, yl, xf + lf * F.cos(hf), yf + lf * F.sin(hf))
     closing, inf = vf > vl, F.lit(float("inf"))
-    return both.select(
-        *PAIR,
-        "t",
-        (F.col("d") / (vf + e2)).alias("thw"),
-        F.when(closing, F.try_divide(gap, vf - vl)).otherwise(inf).alias("ttc"),
-        F.when(closing & (F.col("d") > 0), F.try_divide((vf - vl) * (vf - vl), 2 * F.col("d"))).otherwise(0.0).alias("drac"),
-    )
+    return {
+        "thw": F.col("d") / (vf + e2),
+        "ttc": F.when(closing, F.try_divide(gap, vf - vl)).otherwise(inf),
+        "drac": F.when(closing & (F.col("d") > 0), F.try_divide((vf - vl) * (vf - vl), 2 * F.col("d"))).otherwise(0.0),
+    }
+
+
+def following(moving: DataFrame, e2: float = 1e-4) -> DataFrame:
+    """THW, TTC and DRAC of every common step of a pair."""
+    return leads(moving).select(*PAIR, "t", *(c.alias(n) for n, c in _measures(e2).items()))
 
 
-def agent_mttcp(moving: DataFrame, e1: float = 1e-3) -> DataFrame:
+def agent_mttcp(moving: DataFrame, e1: float = 1e-3, other: DataFrame | None = None) -> DataFrame:
     """Least difference of the two times to a crossing, over the steps before either reaches it."""
-    cross = crossings(moving)
+    cross = crossings(moving, other=other)
     v = moving.where("valid")
+    u = v if other is None else other.where("valid")
     left = v.select("scenario_id", F.col("agent_id").alias("i"), "t", F.col("x").alias("xi"), F.col("y").alias("yi"), F.col("speed").alias("vi"))
-    right = v.select("scenario_id", F.col("agent_id").alias("j"), "t", F.col("x").alias("xj"), F.col("y").alias("yj"), F.col("speed").alias("vj"))
+    right = u.select("scenario_id", F.col("agent_id").alias("j"), "t", F.col("x").alias("xj"), F.col("y").alias("yj"), F.col("speed").alias("vj"))
     rows = cross.join(left, ["scenario_id", "i"]).where(F.col("t") <= F.least("ti", "tj")).join(right, ["scenario_id", "j", "t"])
     gap = F.abs(
         dist(F.col("cx"), F.col("cy"), F.col("xi"), F.col("yi")) / (F.col("vi") + e1)
@@ -157,65 +180,100 @@ def agent_mttcp(moving: DataFrame, e1: float = 1e-3) -> DataFrame:
     return rows.groupBy(*PAIR).agg(F.min(gap).alias("mttcp"), F.countDistinct("ti").alias("n_crossings"))
 
 
-def scene_mttcp(moving: DataFrame, points: DataFrame, radius: float = 5.0, e1: float = 1e-3) -> DataFrame:
+#: A grid cell and its eight neighbours, as steps (a, b).
+NEIGHBOURS = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1))))
+
+
+def nearest_to_points(tracks: DataFrame, maps: DataFrame, points: DataFrame, radius: float) -> DataFrame:
+    """(agent, cp_id, cx, cy, d, t): the first step of least distance to each point that an agent
+    comes within ``radius`` of.  Cells as wide as the radius are the equality key.
+
+    ``maps``: (scenario_id, map_id); ``points``: (map_id, cp_id, cx, cy).
+    """
+    grid = points.select("*", *(F.floor(F.col(f"c{c}") / radius).alias(f"g{c}") for c in "xy"))
+    here = tracks.where("valid").select(*AGENT, "t", "x", "y", *(F.floor(F.col(c) / radius).alias(f"g{c}") for c in "xy"))
+    here = here.withColumn("o", NEIGHBOURS).withColumns({"gx": F.col("gx") + F.col("o.a"), "gy": F.col("gy") + F.col("o.b")})
+    near = here.join(maps, "scenario_id").join(grid, ["map_id", "gx", "gy"])
+    near = near.withColumn("d", dist(F.col("x"), F.col("y"), F.col("cx"), F.col("cy"))).where(F.col("d") <= radius)
+    best = near.groupBy(*AGENT, "cp_id", "cx", "cy").agg(F.min(F.struct("d", "t")).alias("b"))
+    return best.select(*AGENT, "cp_id", "cx", "cy", "b.d", "b.t")
+
+
+def scene_mttcp(
+    moving: DataFrame, maps: DataFrame, points: DataFrame, radius: float = 5.0, e1: float = 1e-3, other: DataFrame | None = None
+) -> DataFrame:
     """Least difference of times to conflict points that both agents come within ``radius`` of.
 
-    ``points``: (scenario_id, cp_id, cx, cy).  Steps count up to the smaller of the two first steps
-    of least distance.
+    Steps count up to the smaller of the two first steps of least distance.
     """
-    v = moving.where("valid").select(*AGENT, "t", "x", "y", "speed")
-    to = v.join(points, "scenario_id").withColumn("d", dist(F.col("x"), F.col("y"), F.col("cx"), F.col("cy")))
-    best = to.groupBy(*AGENT, "cp_id").agg(F.min(F.struct("d", "t")).alias("b")).where(F.col("b.d") <= radius)
-    near = best.select(*AGENT, "cp_id", F.col("b.t").alias("at"))
-    pairs = (
-        near.select("scenario_id", "cp_id", F.col("agent_id").alias("i"), F.col("at").alias("at_i"))
-        .join(near.select("scenario_id", "cp_id", F.col("agent_id").alias("j"), F.col("at").alias("at_j")), ["scenario_id", "cp_id"])
-        .where("i < j")
-        .withColumn("end", F.least("at_i", "at_j"))
-    )
-    time = to.join(near.select(*AGENT, "cp_id"), [*AGENT, "cp_id"], "left_semi").select(
-        *AGENT, "cp_id", "t", (F.col("d") / (F.col("speed") + e1)).alias("ttp")
-    )
-    ti = time.select("scenario_id", "cp_id", F.col("agent_id").alias("i"), "t", F.col("ttp").alias("ti"))
-    tj = time.select("scenario_id", "cp_id", F.col("agent_id").alias("j"), "t", F.col("ttp").alias("tj"))
-    rows = pairs.join(ti, ["scenario_id", "cp_id", "i"]).where("t <= end").join(tj, ["scenario_id", "cp_id", "j", "t"])
-    return rows.groupBy(*PAIR).agg(F.min(F.abs(F.col("ti") - F.col("tj"))).alias("mttcp"), F.countDistinct("cp_id").alias("n_points"))
 
+    def side(df: DataFrame, n: str) -> DataFrame:
+        near = nearest_to_points(df, maps, points, radius)
+        return near.select("scenario_id", "cp_id", "cx", "cy", F.col("agent_id").alias(n), F.col("t").alias(f"at_{n}"))
 
-def interaction_features(moving: DataFrame) -> DataFrame:
-    """Per pair: 1/min of THW, TTC and mTTCP (0 if never), greatest DRAC, number of collision steps."""
-    steps_ = following(moving).groupBy(*PAIR).agg(
-        F.min("thw").alias("thw"), F.min("ttc").alias("ttc"), F.max("drac").alias("drac")
-    )
-    mttcp = agent_mttcp(moving).select(*PAIR, "mttcp")
-    hits = collisions(moving).select(*PAIR, "n_hits")
-    every = steps_.join(mttcp, PAIR, "left").join(hits, PAIR, "left")
+    def steps_of(df: DataFrame, n: str) -> DataFrame:
+        own = df.where("valid")
+        return own.select("scenario_id", F.col("agent_id").alias(n), "t", *(F.col(c).alias(f"{c}_{n}") for c in ("x", "y", "speed")))
+
+    right = moving if other is None else other
+    pairs = side(moving, "i").join(side(right, "j").drop("cx", "cy"), ["scenario_id", "cp_id"]).where(_related(other))
+    rows = pairs.join(steps_of(moving, "i"), ["scenario_id", "i"]).where(F.col("t") <= F.least("at_i", "at_j"))
+    rows = rows.join(steps_of(right, "j"), ["scenario_id", "j", "t"])
+
+    def time(n: str) -> Column:
+        return dist(F.col(f"x_{n}"), F.col(f"y_{n}"), F.col("cx"), F.col("cy")) / (F.col(f"speed_{n}") + e1)
+
+    gap = F.min(F.abs(time("i") - time("j")))
+    return rows.groupBy(*PAIR).agg(gap.alias("mttcp"), F.countDistinct("cp_id").alias("n_points"))
+
+
+#: What interaction_features() gives for a pair.
+FEATURES = ("thw", "ttc", "drac", "mttcp", "scene_mttcp", "collisions")
+
+
+def interaction_features(
+    moving: DataFrame, maps: DataFrame, points: DataFrame, other: DataFrame | None = None, within: float = 0.25
+) -> DataFrame:
+    """Per pair: 1/min of THW, TTC and both mTTCP (0 if never), greatest DRAC, number of collision
+    steps, and the least distance.  The measures of common steps come from one join."""
+    columns = ["heading", "speed", "length", "px", "py"]
+    both = aligned(with_previous(moving), columns, None if other is None else with_previous(other))
+    rows = both.withColumn("j_leads", _ahead()).select(*PAIR, "d", _hit(within).alias("hit"), *(c.alias(n) for n, c in _measures().items()))
+    per = rows.groupBy(*PAIR).agg(
+        F.min("thw").alias("thw"), F.min("ttc").alias("ttc"), F.max("drac").alias("drac"),
+        F.count_if("hit").cast("double").alias("collisions"), F.min("d").alias("min_d"),
+    )
+    agent = agent_mttcp(moving, other=other).select(*PAIR, "mttcp")
+    scene = scene_mttcp(moving, maps, points, other=other).select(*PAIR, F.col("mttcp").alias("scene_mttcp"))
+    every = per.join(agent, PAIR, "left").join(scene, PAIR, "left")
 
     def feature(c: str) -> Column:
         return F.coalesce(inverse(F.col(c)), F.lit(0.0)).alias(c)
 
-    return every.select(
-        *PAIR, feature("thw"), feature("ttc"), F.col("drac"), feature("mttcp"), F.coalesce("n_hits", F.lit(0)).cast("double").alias("collisions")
-    )
+    return every.select(*PAIR, *(F.col(c) if c in ("drac", "collisions") else feature(c) for c in FEATURES), "min_d")
 
 
-def min_distance_to_targets(tracks: DataFrame) -> DataFrame:
-    """Least distance of each agent to any target, over jointly valid steps; targets have 0."""
-    both = aligned(tracks)
-    out = both.select("scenario_id", F.col("i").alias("agent_id"), F.col("j").alias("other"), "d").union(
-        both.select("scenario_id", F.col("j"), F.col("i"), "d")
-    )
-    near = out.where(F.col("other") % 10 <= 2).groupBy(*AGENT).agg(F.min("d").alias("d"))
-    mine = agents(tracks).join(near, AGENT, "left")
-    return mine.withColumn("d", F.when(F.col("agent_id") % 10 <= 2, 0.0).otherwise(F.col("d")))
+def both_sides(pairs: DataFrame, *columns: str) -> DataFrame:
+    """Each pair as two rows: agent_id, other and the columns."""
+    sides = F.explode(F.array(*(F.struct(F.col(a).alias("agent_id"), F.col(b).alias("other")) for a, b in (("i", "j"), ("j", "i")))))
+    return pairs.select("scenario_id", sides.alias("s"), *columns).select("scenario_id", "s.agent_id", "s.other", *columns)
+
+
+def min_distance_to_targets(tracks: DataFrame, targets: DataFrame) -> DataFrame:
+    """Least distance of each agent to any target, over jointly valid steps; targets have 0.
+
+    ``targets``: (scenario_id, agent_id).
+    """
+    near = aligned(tracks).groupBy(*PAIR).agg(F.min("d").alias("d"))
+    t = targets.select("scenario_id", F.col("agent_id").alias("other"))
+    least = both_sides(near, "d").join(t, ["scenario_id", "other"], "left_semi").groupBy(*AGENT).agg(F.min("d").alias("d"))
+    mine = agents(tracks).join(targets.select(*AGENT, F.lit(True).alias("_t")), AGENT, "left").join(least, AGENT, "left")
+    return mine.select(*AGENT, F.when(F.col("_t"), 0.0).otherwise(F.col("d")).alias("d"))
 
 
 def proximity_pooling(moving: DataFrame, scale: float = 1.2) -> DataFrame:
     """Neighbours' mean speed, weighted by exp(-least distance / scale)."""
-    near = aligned(moving).groupBy(*PAIR).agg(F.min("d").alias("d"))
-    both = near.select("scenario_id", F.col("i").alias("agent_id"), F.col("j").alias("other"), "d").union(
-        near.select("scenario_id", F.col("j"), F.col("i"), "d")
-    )
+    both = both_sides(aligned(moving).groupBy(*PAIR).agg(F.min("d").alias("d")), "d")
     mean = moving.groupBy(*AGENT).agg(F.avg("speed").alias("v")).select("scenario_id", F.col("agent_id").alias("other"), "v")
     weighted = both.join(mean, ["scenario_id", "other"]).withColumn("w", F.exp(-F.col("d") / scale))
     return weighted.groupBy(*AGENT).agg(F.try_divide(F.sum(F.col("w") * F.col("v")), F.sum("w")).alias("pooled"))

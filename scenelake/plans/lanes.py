@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from scenelake.functions.geometry import dist, exact_mean, heading_difference, miles_per_hour
 from scenelake.operators import kinematics as k
 from scenelake.operators import lanes as ln
+from scenelake.operators import pairs as pr
 from scenelake.plans.helpers import r4, rounded, sql_norm, sql_r4
 from scenelake.plans.kinematics import SQL_MOVING
 from scenelake.plans.pairs import SQL_CP, conflict_points
@@ -17,8 +18,23 @@ from scenelake.sources.world import SQL_LANES, SQL_POINTS, SQL_TRACKS
 A = k.AGENT
 
 
-def _near(spark: SparkSession, d: str, k_: int | None = 16) -> DataFrame:
-    return ln.nearest(world.tracks(spark, d), world.lanes(spark, d), world.lane_points(spark, d), k_)
+def _map(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    t = world.tracks(spark, d)
+    return t, world.scene_maps(t), world.lanes(spark, d), world.lane_points(spark, d)
+
+
+def _near(spark: SparkSession, d: str, k_: int = 16) -> DataFrame:
+    return ln.nearest(*_map(spark, d), k_)
+
+
+def _within(spark: SparkSession, d: str) -> DataFrame:
+    """The lanes within 5 m of each valid step, by distance."""
+    return ln.near(*_map(spark, d))
+
+
+def _in_lane(spark: SparkSession, d: str) -> DataFrame:
+    """The nearest lane of each valid step that has one within 5 m."""
+    return _within(spark, d).where("rank = 1")
 
 
 def _at(spark: SparkSession, d: str) -> DataFrame:
@@ -56,10 +72,10 @@ def lane_intersections(spark: SparkSession, d: str) -> DataFrame:
 
 
 def conflict_distance(spark: SparkSession, d: str) -> DataFrame:
-    """Least distance of each agent to each conflict point, and the first step of it."""
-    t = world.tracks(spark, d).where("valid").join(conflict_points(spark, d), "scenario_id")
-    b = F.min(F.struct(F.round(dist(F.col("x"), F.col("y"), F.col("cx"), F.col("cy")), 4).alias("d"), "t"))
-    return t.groupBy(*A, "cp_id").agg(b.alias("b")).select(*A, "cp_id", "b.d", "b.t")
+    """Least distance of each agent to each conflict point within 5 m of its track, and its first step."""
+    t = world.tracks(spark, d)
+    near = pr.nearest_to_points(t, world.scene_maps(t), conflict_points(spark, d), 5.0)
+    return near.select(*A, "cp_id", r4("d"), "t")
 
 
 def knn_lanes(spark: SparkSession, d: str) -> DataFrame:
@@ -68,11 +84,9 @@ def knn_lanes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def best_lane(spark: SparkSession, d: str) -> DataFrame:
-    """The lane of each agent with the greatest reciprocal mean distance over its steps."""
-    near = _near(spark, d, None)
-    m = near.groupBy(*A, "lane_id").agg(F.round(exact_mean(F.col("d")), 8).alias("m"))
-    sim = F.round(1 / F.greatest(F.col("m"), F.lit(1e-8)), 6)
-    return m.groupBy(*A).agg(F.max(F.struct(sim.alias("sim"), (-F.col("lane_id")).alias("l"))).alias("b")).select(*A, (-F.col("b.l")).alias("lane_id"), r4("sim", F.col("b.sim")))
+    """The lane of each agent that is most similar to its track, in distance and in shape."""
+    m = ln.similarity(ln.distances(*_map(spark, d)))
+    return m.groupBy(*A).agg(F.max(F.struct("sim", (-F.col("lane_id")).alias("l"))).alias("b")).select(*A, (-F.col("b.l")).alias("lane_id"), r4("sim", F.col("b.sim")))
 
 
 def topk_polylines(spark: SparkSession, d: str) -> DataFrame:
@@ -81,7 +95,7 @@ def topk_polylines(spark: SparkSession, d: str) -> DataFrame:
 
     m = k.with_motion(world.tracks(spark, d)).where((F.col("t") == world.NOW) & (F.col("agent_id") % 10 <= 2))
     ahead = m.select(*A, (F.col("x") + 30 * F.cos("heading")).alias("ox"), (F.col("y") + 30 * F.sin("heading")).alias("oy"))
-    lanes = ln.with_lanes(world.tracks(spark, d), world.lanes(spark, d)).join(polyline_centroid(spark, d), "lane_id")
+    lanes = ln.with_lanes(world.scene_maps(m), world.lanes(spark, d)).join(polyline_centroid(spark, d), "lane_id")
     near = ahead.join(lanes, "scenario_id").withColumn("d", F.round(dist(F.col("ox"), F.col("oy"), F.col("cx"), F.col("cy")), 4))
     w = Window.partitionBy(*A).orderBy("d", "lane_id")
     return near.withColumn("rank", F.row_number().over(w)).where("rank <= 8").select(*A, "rank", "lane_id", "d")
@@ -97,12 +111,12 @@ def map_collection(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lane_activity_intervals(spark: SparkSession, d: str) -> DataFrame:
-    return ln.activity(_near(spark, d))
+    return ln.activity(_within(spark, d).where("rank <= 16"))
 
 
 def interval_stab(spark: SparkSession, d: str) -> DataFrame:
     """Active lanes of each agent now."""
-    act = ln.activity(_near(spark, d))
+    act = ln.activity(_within(spark, d).where("rank <= 16"))
     now = world.tracks(spark, d).where(F.col("t") == world.NOW).select(*A, "t")
     return ln.stab(act, now, A).groupBy(*A).agg(F.count("*").alias("n_active"), F.min("lane_id").alias("first_lane"))
 
@@ -138,19 +152,19 @@ def lane_angle_gate(spark: SparkSession, d: str) -> DataFrame:
 
 def speed_limit_lookup(spark: SparkSession, d: str) -> DataFrame:
     """Greatest excess over the limit of the nearest lane within 5 m; 0 outside lanes."""
-    m = k.with_motion(world.tracks(spark, d)).where("valid").join(_near(spark, d, 1).where("d <= 5").select(*A, "t", "lane_id"), [*A, "t"], "left")
+    m = k.with_motion(world.tracks(spark, d)).where("valid").join(_in_lane(spark, d).select(*A, "t", "lane_id"), [*A, "t"], "left")
     lim = world.lanes(spark, d).select("lane_id", miles_per_hour(F.col("limit_mph")).alias("limit"))
     over = m.join(lim, "lane_id", "left").groupBy(*A).agg(F.max(F.col("speed") - F.col("limit")).alias("o"), F.count("lane_id").alias("n_in_lane"))
     return over.select(*A, r4("over_limit", F.greatest(F.coalesce("o", F.lit(0.0)), F.lit(0.0))), "n_in_lane")
 
 
 def distinct_lanes(spark: SparkSession, d: str) -> DataFrame:
-    return _near(spark, d, 1).where("d <= 5").groupBy(*A).agg(F.countDistinct("lane_id").alias("n_lanes"))
+    return _in_lane(spark, d).groupBy(*A).agg(F.countDistinct("lane_id").alias("n_lanes"))
 
 
 def lane_sharing(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of agents whose nearest lanes have one in common, with how many."""
-    u = _near(spark, d, 1).where("d <= 5").select(*A, "lane_id").distinct()
+    u = _in_lane(spark, d).select(*A, "lane_id").distinct()
     a, b = (u.select("scenario_id", "lane_id", F.col("agent_id").alias(n)) for n in "ij")
     return a.join(b, ["scenario_id", "lane_id"]).where("i < j").groupBy("scenario_id", "i", "j").agg(F.count("*").alias("n_shared"))
 
@@ -162,19 +176,23 @@ segs AS (SELECT lane_id, pt AS seg, x AS ax, y AS ay, bx, "by", sum(st) OVER w2
    WINDOW w2 AS (PARTITION BY lane_id ORDER BY pt ROWS UNBOUNDED PRECEDING) QUALIFY bx IS NOT NULL)"""
 
 
-def _along(o: str) -> str:
+def _share(o: str) -> str:
     ux, uy = f"({o}x-vx)", f"({o}y-vy)"
-    u = f"(((x-vx)*{ux} + (y-vy)*{uy})/nullif({ux}*{ux}+{uy}*{uy},0))"
-    return f"CASE WHEN {u} BETWEEN 0 AND 1 THEN {sql_norm(f'x-(vx+{u}*{ux})', f'y-(vy+{u}*{uy})')} END"
+    return f"(((x-vx)*{ux} + (y-vy)*{uy})/nullif({ux}*{ux}+{uy}*{uy},0))"
 
 
 SQL_NEAR = f"""
 _ap AS (SELECT lane_id, pt, x AS vx, y AS vy, lag(x) OVER w AS px, lag(y) OVER w AS py, lead(x) OVER w AS nx, lead(y) OVER w AS ny FROM points {_PW}),
 _v AS (SELECT t.scenario_id, t.agent_id, t.t, l.lane_id, t.x, t.y, p.* EXCLUDE (lane_id), round({sql_norm('t.x-p.vx','t.y-p.vy')},6) AS vd
-   FROM tracks t JOIN lanes l ON l.slot = t.scenario_id % 15 JOIN _ap p ON p.lane_id=l.lane_id WHERE t.valid
+   FROM tracks t JOIN lanes l ON l.map_id = t.scenario_id % 15 JOIN _ap p ON p.lane_id=l.lane_id WHERE t.valid
    QUALIFY row_number() OVER (PARTITION BY t.scenario_id, t.agent_id, t.t, l.lane_id ORDER BY round({sql_norm('t.x-p.vx','t.y-p.vy')},6), p.pt) = 1),
-_d AS (SELECT scenario_id, agent_id, t, lane_id, x, y, round(CASE WHEN vd <= 10 THEN least(vd, {_along('n')}, {_along('p')}) ELSE vd END, 6) AS d FROM _v),
-near AS (SELECT scenario_id, agent_id, t, lane_id, x, y, d, CAST(row_number() OVER (PARTITION BY scenario_id, agent_id, t ORDER BY d, lane_id) AS INT) AS rank FROM _d)"""
+_u AS (SELECT *, {_share('n')} AS un, {_share('p')} AS up FROM _v),
+_o AS (SELECT *, CASE WHEN vd <= 10 AND un BETWEEN 0 AND 1 THEN round({sql_norm('x-(vx+un*(nx-vx))', 'y-(vy+un*(ny-vy))')}, 6) ELSE 'inf'::double END AS dn,
+   CASE WHEN vd <= 10 AND up BETWEEN 0 AND 1 THEN round({sql_norm('x-(vx+up*(px-vx))', 'y-(vy+up*(py-vy))')}, 6) ELSE 'inf'::double END AS dp FROM _u),
+_d AS (SELECT scenario_id, agent_id, t, lane_id, x, y, least(vd, dn, dp) AS d,
+   CASE WHEN vd <= dn AND vd <= dp THEN vx WHEN dn <= dp THEN vx+un*(nx-vx) ELSE vx+up*(px-vx) END AS qx,
+   CASE WHEN vd <= dn AND vd <= dp THEN vy WHEN dn <= dp THEN vy+un*(ny-vy) ELSE vy+up*(py-vy) END AS qy FROM _o),
+near AS (SELECT scenario_id, agent_id, t, lane_id, x, y, d, qx, qy, CAST(row_number() OVER (PARTITION BY scenario_id, agent_id, t ORDER BY d, lane_id) AS INT) AS rank FROM _d)"""
 _P = f"WITH {SQL_POINTS}"
 _N = f"WITH {SQL_TRACKS},{SQL_POINTS},{SQL_LANES},{SQL_NEAR}"
 _NM = f"WITH {SQL_TRACKS},{SQL_MOVING},{SQL_POINTS},{SQL_LANES},{SQL_NEAR}"
@@ -205,14 +223,16 @@ QUERIES = {
     "polyline_centroid": (polyline_centroid, f"{_P} SELECT lane_id, round(avg(x),8) + 0.0::double AS cx, round(avg(y),8) + 0.0::double AS cy FROM points GROUP BY 1"),
     "lane_edges": (lane_edges, f"WITH {SQL_LANES}, e AS (SELECT lane_id AS src, exit_lane AS dst FROM lanes WHERE exit_lane IN (SELECT lane_id FROM lanes)) SELECT src, dst FROM e UNION ALL SELECT dst AS src, src AS dst FROM e"),
     "lane_intersections": (lane_intersections, f"""WITH {SQL_POINTS},{SQL_LANES}, p AS (SELECT * FROM points JOIN lanes USING (lane_id)) SELECT a.lane_id AS i, b.lane_id AS j, count(*) AS n_points FROM p a JOIN p b
-        ON a.slot=b.slot AND a.lane_id<b.lane_id AND b.lane_id<>a.exit_lane AND {sql_norm('a.x-b.x','a.y-b.y')} < 0.05::double GROUP BY 1,2"""),
-    "conflict_distance": (conflict_distance, f"""WITH {SQL_TRACKS},{SQL_POINTS},{SQL_CP}, q AS (SELECT t.scenario_id, agent_id, cp_id, min({{'d': round({sql_norm('x-cx','y-cy')},4), 't': t}}) AS b FROM tracks t JOIN cp USING (scenario_id) WHERE valid GROUP BY 1,2,3)
-        SELECT scenario_id, agent_id, cp_id, b.d AS d, b.t AS t FROM q"""),
+        ON a.map_id=b.map_id AND a.lane_id<b.lane_id AND b.lane_id<>a.exit_lane AND {sql_norm('a.x-b.x','a.y-b.y')} < 0.05::double GROUP BY 1,2"""),
+    "conflict_distance": (conflict_distance, f"""WITH {SQL_TRACKS},{SQL_POINTS},{SQL_CP}, q AS (SELECT t.scenario_id, agent_id, cp_id, min({{'d': {sql_norm('x-cx','y-cy')}, 't': t}}) AS b FROM tracks t JOIN cp USING (scenario_id) WHERE valid AND {sql_norm('x-cx','y-cy')} <= 5 GROUP BY 1,2,3)
+        SELECT scenario_id, agent_id, cp_id, {sql_r4('b.d','d')}, b.t AS t FROM q"""),
     "knn_lanes": (knn_lanes, f"{_N} SELECT scenario_id, agent_id, lane_id, count(*) AS n_steps, sum(CAST(round(d*1000000) AS BIGINT))/count(d)/1000000.0::double AS mean_d, min(rank) AS best_rank FROM near WHERE rank<=16 GROUP BY 1,2,3"),
-    "best_lane": (best_lane, f"""{_N}, m AS (SELECT scenario_id, agent_id, lane_id, round(1/greatest(round(sum(CAST(round(d*1000000) AS BIGINT))/count(d)/1000000.0::double,8),1e-8::double),6) AS sim FROM near GROUP BY 1,2,3)
+    "best_lane": (best_lane, f"""{_N}, o AS (SELECT scenario_id, agent_id, lane_id, t, d, x-qx AS ox, y-qy AS oy, last(x-qx) OVER w AS lx, last(y-qy) OVER w AS ly FROM near
+          WINDOW w AS (PARTITION BY scenario_id, agent_id, lane_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+        m AS (SELECT scenario_id, agent_id, lane_id, round(1/greatest(round(sum(CAST(round(d*1000000) AS BIGINT))/count(d)/1000000.0::double,8) + round(avg({sql_norm('ox-lx','oy-ly')}),8),1e-8::double),6) AS sim FROM o GROUP BY 1,2,3)
         SELECT scenario_id, agent_id, lane_id, {sql_r4('sim','sim')} FROM m QUALIFY row_number() OVER (PARTITION BY scenario_id, agent_id ORDER BY sim DESC, lane_id)=1"""),
     "topk_polylines": (topk_polylines, f"""WITH {SQL_TRACKS},{SQL_MOVING},{SQL_POINTS},{SQL_LANES}, c AS (SELECT lane_id, round(avg(x),8) AS cx, round(avg(y),8) AS cy FROM points GROUP BY 1),
-        q AS (SELECT m.scenario_id, m.agent_id, l.lane_id, round({sql_norm('m.x+30*cos(heading)-cx','m.y+30*sin(heading)-cy')},4) AS d FROM moving m JOIN lanes l ON l.slot=m.scenario_id%15 JOIN c USING (lane_id) WHERE t=10 AND agent_id%10<=2)
+        q AS (SELECT m.scenario_id, m.agent_id, l.lane_id, round({sql_norm('m.x+30*cos(heading)-cx','m.y+30*sin(heading)-cy')},4) AS d FROM moving m JOIN lanes l ON l.map_id=m.scenario_id%15 JOIN c USING (lane_id) WHERE t=10 AND agent_id%10<=2)
         SELECT scenario_id, agent_id, CAST(row_number() OVER w AS INT) AS rank, lane_id, d FROM q WINDOW w AS (PARTITION BY scenario_id, agent_id ORDER BY d, lane_id) QUALIFY row_number() OVER w <= 8"""),
     "map_collection": (map_collection, f"""{_N}, n AS (SELECT *, min(t) OVER (PARTITION BY scenario_id, agent_id) AS a, max(t) OVER (PARTITION BY scenario_id, agent_id) AS b FROM near WHERE rank<=4 AND agent_id%10<=2)
         SELECT DISTINCT scenario_id, agent_id, lane_id FROM n WHERE t=a OR t=b"""),

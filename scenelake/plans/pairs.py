@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scenelake.operators import kinematics as k
@@ -18,10 +18,9 @@ def _moving(spark: SparkSession, d: str) -> DataFrame:
 
 
 def conflict_points(spark: SparkSession, d: str) -> DataFrame:
-    """(scenario_id, cp_id, cx, cy): the first point of every lane of a scenario."""
-    first = world.lane_points(spark, d).where("pt = 0").select((F.col("lane_id") % 15).alias("slot"), F.col("lane_id").alias("cp_id"), F.col("x").alias("cx"), F.col("y").alias("cy"))
-    scenes = world.tracks(spark, d).select("scenario_id", (F.col("scenario_id") % 15).alias("slot")).distinct()
-    return scenes.join(first, "slot").select("scenario_id", "cp_id", "cx", "cy")
+    """(map_id, cp_id, cx, cy): the first point of every lane of a map."""
+    first = world.lane_points(spark, d).where("pt = 0").select("lane_id", F.col("x").alias("cx"), F.col("y").alias("cy"))
+    return world.lanes(spark, d).select("map_id", "lane_id").join(first, "lane_id").select("map_id", F.col("lane_id").alias("cp_id"), "cx", "cy")
 
 
 def pair_unordered(spark: SparkSession, d: str) -> DataFrame:
@@ -70,16 +69,34 @@ def agent_mttcp(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scene_mttcp(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(p.scene_mttcp(_moving(spark, d), conflict_points(spark, d)), "mttcp")
+    t = _moving(spark, d)
+    return rounded(p.scene_mttcp(t, world.scene_maps(t), conflict_points(spark, d)), "mttcp")
+
+
+def features(spark: SparkSession, d: str) -> DataFrame:
+    t = _moving(spark, d)
+    return p.interaction_features(t, world.scene_maps(t), conflict_points(spark, d))
 
 
 def interaction_summary(spark: SparkSession, d: str) -> DataFrame:
-    f = p.interaction_features(_moving(spark, d))
-    return f.select(*p.PAIR, *(r4(c, F.least(F.col(c), F.lit(1e6))) for c in ("thw", "ttc", "drac", "mttcp", "collisions")))
+    return features(spark, d).select(*p.PAIR, *(r4(c, F.least(F.col(c), F.lit(1e6))) for c in p.FEATURES))
+
+
+def pair_threshold_score(spark: SparkSession, d: str) -> DataFrame:
+    """Greatest 1/x of the measures of each pair over the steps at which they are critical: headways
+    and times to collision below 2 s, decelerations above 0.5; 0 if there is no such step."""
+    f = p.following(_moving(spark, d))
+
+    def worst(c: str) -> Column:
+        return F.coalesce(F.max(F.when((F.col(c) < 2) & (F.col(c) > 0), 1 / F.col(c))), F.lit(0.0))
+
+    drac = F.coalesce(F.max(F.when(F.col("drac") > 0.5, F.col("drac"))), F.lit(0.0))
+    return f.groupBy(*p.PAIR).agg(r4("thw", worst("thw")), r4("ttc", F.least(worst("ttc"), F.lit(1e6))), r4("drac", F.least(drac, F.lit(1e6))))
 
 
 def target_distance(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(p.min_distance_to_targets(world.tracks(spark, d)), "d")
+    t = world.tracks(spark, d)
+    return rounded(p.min_distance_to_targets(t, world.targets(t)), "d")
 
 
 def proximity_pooling(spark: SparkSession, d: str) -> DataFrame:
@@ -149,11 +166,38 @@ hits AS (SELECT a.scenario_id, a.agent_id AS i, b.agent_id AS j, count(*) AS n_h
    WHERE {sql_norm('a.x-b.x','a.y-b.y')} <= 0.25 OR coalesce({sql_meet('a','b')}, false) GROUP BY 1,2,3)"""
 SQL_CP = """
 cp AS (SELECT s.scenario_id, lane_id AS cp_id, x AS cx, y AS cy FROM (SELECT DISTINCT scenario_id FROM tracks) s JOIN points ON pt=0 AND lane_id%15 = s.scenario_id%15)"""
-SQL_FEATURES = """
-features AS (SELECT f.scenario_id, f.i, f.j, CASE WHEN thw=0 THEN 'inf'::double ELSE 1/thw END AS thw, CASE WHEN ttc=0 THEN 'inf'::double ELSE 1/ttc END AS ttc, drac,
-   coalesce(CASE WHEN mttcp=0 THEN 'inf'::double ELSE 1/mttcp END, 0) AS mttcp, coalesce(n_hits,0)::double AS collisions
-   FROM (SELECT scenario_id, i, j, min(thw) AS thw, min(ttc) AS ttc, max(drac) AS drac FROM follow GROUP BY 1,2,3) f
-   LEFT JOIN mttcp USING (scenario_id, i, j) LEFT JOIN hits USING (scenario_id, i, j))"""
+LENGTH = "CASE WHEN agent_id%10<=5 THEN 4.5::double WHEN agent_id%10<=7 THEN 0.6::double ELSE 1.8::double END"
+
+
+def sql_features(tag: str, left: str = "moving", right: str = "moving", rel: str = "<") -> str:
+    """CTEs ending in ``{tag}`` (scenario_id, i, j, the features, min_d), i of ``left`` and j of ``right``."""
+    one = lambda c: f"coalesce(CASE WHEN {c}=0 THEN 'inf'::double ELSE 1/{c} END, 0)"
+    prev = f"SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py, {LENGTH} AS len FROM {{}} WHERE valid WINDOW w AS (PARTITION BY scenario_id, agent_id ORDER BY t)"
+    near = f"""SELECT scenario_id, agent_id, cp_id, cx, cy, min({{{{'d': d, 't': t}}}}).t AS at FROM (SELECT m.*, cp_id, cx, cy, {sql_norm('x-cx','y-cy')} AS d FROM {{}} m JOIN cp USING (scenario_id) WHERE valid) WHERE d <= 5 GROUP BY 1,2,3,4,5"""
+    return f"""
+{tag}_a AS ({prev.format(left)}), {tag}_b AS ({prev.format(right)}),
+{tag}_ab AS (SELECT a.scenario_id, a.agent_id AS i, b.agent_id AS j, {sql_norm('a.x-b.x','a.y-b.y')} AS d, {_deg.format("(degrees(atan2(b.y-a.y, b.x-a.x)) - degrees(a.heading))")} <= 90 AS jl,
+   a.x AS ax, a.y AS ay, a.speed AS av, a.heading AS ah, a.len AS al, b.x AS bx, b.y AS by, b.speed AS bv, b.heading AS bh, b.len AS bl,
+   {sql_norm('a.x-b.x','a.y-b.y')} <= 0.25 OR coalesce({sql_meet('a','b')}, false) AS hit
+   FROM {tag}_a a JOIN {tag}_b b ON a.scenario_id=b.scenario_id AND a.t=b.t AND a.agent_id {rel} b.agent_id),
+{tag}_lf AS (SELECT scenario_id, i, j, d, hit, CASE WHEN jl THEN bv ELSE av END AS vl, CASE WHEN jl THEN av ELSE bv END AS vf,
+   CASE WHEN jl THEN bx ELSE ax END AS xl, CASE WHEN jl THEN "by" ELSE ay END AS yl, CASE WHEN jl THEN ax ELSE bx END AS xf, CASE WHEN jl THEN ay ELSE "by" END AS yf,
+   CASE WHEN jl THEN al ELSE bl END AS lf, CASE WHEN jl THEN ah ELSE bh END AS hf FROM {tag}_ab),
+{tag}_p AS (SELECT scenario_id, i, j, min(d/(vf+0.0001::double)) AS thw, min(CASE WHEN vf > vl THEN {sql_norm('xl-(xf+lf*cos(hf))','yl-(yf+lf*sin(hf))')}/(vf-vl) ELSE 'inf'::double END) AS ttc,
+   max(CASE WHEN vf > vl AND d > 0 THEN (vf-vl)*(vf-vl)/(2*d) ELSE 0 END) AS drac, count(*) FILTER (hit)::double AS collisions, min(d) AS min_d FROM {tag}_lf GROUP BY 1,2,3),
+{tag}_c AS (SELECT a.scenario_id, a.agent_id AS i, b.agent_id AS j, a.t AS ti, min(b.t) AS tj, any_value(a.x) AS cx, any_value(a.y) AS cy
+   FROM {left} a JOIN {right} b ON a.scenario_id=b.scenario_id AND a.agent_id {rel} b.agent_id AND a.valid AND b.valid AND {sql_norm('a.x-b.x','a.y-b.y')} <= 1 GROUP BY 1,2,3,4),
+{tag}_m AS (SELECT c.scenario_id, c.i, c.j, min(abs({sql_norm('c.cx-a.x','c.cy-a.y')}/(a.speed+0.001::double) - {sql_norm('c.cx-b.x','c.cy-b.y')}/(b.speed+0.001::double))) AS mttcp
+   FROM {tag}_c c JOIN {left} a ON a.scenario_id=c.scenario_id AND a.agent_id=c.i AND a.valid AND a.t <= least(c.ti,c.tj)
+   JOIN {right} b ON b.scenario_id=c.scenario_id AND b.agent_id=c.j AND b.valid AND b.t=a.t GROUP BY 1,2,3),
+{tag}_ni AS ({near.format(left).replace('{{','{').replace('}}','}')}), {tag}_nj AS ({near.format(right).replace('{{','{').replace('}}','}')}),
+{tag}_s AS (SELECT n.scenario_id, n.agent_id AS i, o.agent_id AS j, min(abs({sql_norm('n.cx-x.x','n.cy-x.y')}/(x.speed+0.001::double) - {sql_norm('n.cx-y.x','n.cy-y.y')}/(y.speed+0.001::double))) AS scene_mttcp
+   FROM {tag}_ni n JOIN {tag}_nj o ON o.scenario_id=n.scenario_id AND o.cp_id=n.cp_id AND n.agent_id {rel} o.agent_id
+   JOIN {left} x ON x.scenario_id=n.scenario_id AND x.agent_id=n.agent_id AND x.valid AND x.t <= least(n.at, o.at)
+   JOIN {right} y ON y.scenario_id=n.scenario_id AND y.agent_id=o.agent_id AND y.valid AND y.t=x.t GROUP BY 1,2,3),
+{tag} AS (SELECT scenario_id, i, j, {one('thw')} AS thw, {one('ttc')} AS ttc, drac, {one('mttcp')} AS mttcp, {one('scene_mttcp')} AS scene_mttcp, collisions, min_d
+   FROM {tag}_p LEFT JOIN {tag}_m USING (scenario_id, i, j) LEFT JOIN {tag}_s USING (scenario_id, i, j))"""
+
 
 QUERIES = {
     "pair_unordered": (pair_unordered, f"{_S}, a AS (SELECT DISTINCT scenario_id, agent_id FROM tracks) SELECT a.scenario_id, a.agent_id AS i, b.agent_id AS j FROM a JOIN a b ON a.scenario_id=b.scenario_id AND a.agent_id<b.agent_id"),
@@ -176,7 +220,9 @@ QUERIES = {
         q AS (SELECT a.scenario_id, a.cp_id, a.agent_id AS i, b.agent_id AS j, least(a.b.t, b.b.t) AS e FROM n a JOIN n b ON a.scenario_id=b.scenario_id AND a.cp_id=b.cp_id AND a.agent_id<b.agent_id)
         SELECT q.scenario_id, q.i, q.j, {sql_r4('min(abs(x.d/(x.speed+0.001::double) - y.d/(y.speed+0.001::double)))','mttcp')}, count(DISTINCT q.cp_id) AS n_points FROM q
         JOIN d x ON x.scenario_id=q.scenario_id AND x.cp_id=q.cp_id AND x.agent_id=q.i AND x.t<=q.e JOIN d y ON y.scenario_id=q.scenario_id AND y.cp_id=q.cp_id AND y.agent_id=q.j AND y.t=x.t GROUP BY 1,2,3"""),
-    "interaction_summary": (interaction_summary, f"{_SM},{SQL_FOLLOW},{SQL_CROSS},{SQL_MTTCP},{SQL_HITS},{SQL_FEATURES} SELECT scenario_id, i, j, " + ", ".join(sql_r4(f"least({c},1e6::double)", c) for c in ("thw", "ttc", "drac", "mttcp", "collisions")) + " FROM features"),
+    "interaction_summary": (interaction_summary, f"{_SM},{SQL_POINTS},{SQL_CP},{sql_features('features')} SELECT scenario_id, i, j, " + ", ".join(sql_r4(f"least({c},1e6::double)", c) for c in p.FEATURES) + " FROM features"),
+    "pair_threshold_score": (pair_threshold_score, f"""{_SM},{SQL_FOLLOW} SELECT scenario_id, i, j, {sql_r4('coalesce(max(1/thw) FILTER (thw < 2 AND thw > 0), 0)','thw')},
+        {sql_r4('least(coalesce(max(1/ttc) FILTER (ttc < 2 AND ttc > 0), 0), 1e6::double)','ttc')}, {sql_r4('least(coalesce(max(drac) FILTER (drac > 0.5), 0), 1e6::double)','drac')} FROM follow GROUP BY 1,2,3"""),
     "target_distance": (target_distance, f"""{_SA}, u AS (SELECT scenario_id, i AS a, j AS b, d FROM aligned UNION ALL SELECT scenario_id, j, i, d FROM aligned),
         n AS (SELECT scenario_id, a, min(d) AS d FROM u WHERE b%10<=2 GROUP BY 1,2), g AS (SELECT DISTINCT scenario_id, agent_id FROM tracks)
         SELECT g.scenario_id, g.agent_id, {sql_r4('CASE WHEN agent_id%10<=2 THEN 0 ELSE d END','d')} FROM g LEFT JOIN n ON n.scenario_id=g.scenario_id AND n.a=g.agent_id"""),

@@ -16,7 +16,7 @@ from scenelake.operators import pairs as pr
 from scenelake.operators import primitives as pm
 from scenelake.plans.helpers import r4, rounded, sql_norm, sql_r4
 from scenelake.plans.kinematics import SQL_MOVING
-from scenelake.plans.lanes import SQL_NEAR, SQL_ROAD, SQL_SEG, _at, _near
+from scenelake.plans.lanes import SQL_NEAR, SQL_ROAD, SQL_SEG, _at, _in_lane, _within
 from scenelake.sources import world
 from scenelake.sources.world import SQL_LANES, SQL_POINTS, SQL_TRACKS
 from scenelake.streaming import files
@@ -120,7 +120,7 @@ def procrustes_rmsd(spark: SparkSession, d: str) -> DataFrame:
 def coverage_by_type(spark: SparkSession, d: str) -> DataFrame:
     """Agents of each type, moving or not, with the mean shares of valid and in-lane steps."""
     t = world.with_type(k.with_motion(world.tracks(spark, d)))
-    near = _near(spark, d, 1).where("d <= 5").select(*A, "t", F.lit(1).alias("in_lane"))
+    near = _in_lane(spark, d).select(*A, "t", F.lit(1).alias("in_lane"))
     g = t.join(near, [*A, "t"], "left").groupBy(*A, "object_type").agg(
         (F.avg("speed") < 0.25).alias("stationary"), (F.count_if("valid") / F.count("*")).alias("valid"), (F.count("in_lane") / F.count("*")).alias("lane")
     )
@@ -209,7 +209,7 @@ def event_sessions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lane_sequence_search(spark: SparkSession, d: str) -> DataFrame:
-    return grouped.lane_sequences(ln.activity(_near(spark, d)))
+    return grouped.lane_sequences(ln.activity(_within(spark, d).where("rank <= 16")))
 
 
 def kmeans_mode_ensemble(spark: SparkSession, d: str) -> DataFrame:
@@ -239,6 +239,13 @@ def _means(a: str, out: str) -> str:
     return f"{out} AS (SELECT k, sum(CAST(round(x*100) AS BIGINT))/count(*)/100.0::double AS cx, sum(CAST(round(y*100) AS BIGINT))/count(*)/100.0::double AS cy FROM {a} GROUP BY 1)"
 
 
+SQL_ANOMALY = f"""
+_hq AS (SELECT scenario_id, agent_id, t, least(CAST(floor((heading + 3.141592653589793::double)/1.5707963267948966::double) AS BIGINT), 3) AS state FROM moving WHERE valid),
+_hg AS (SELECT *, row_number() OVER (PARTITION BY scenario_id, agent_id ORDER BY t) - row_number() OVER (PARTITION BY scenario_id, agent_id, state ORDER BY t) AS g FROM _hq),
+_hr AS (SELECT scenario_id, agent_id, state, max(t) + 1 - min(t) AS len FROM _hg GROUP BY scenario_id, agent_id, state, g HAVING max(t) + 1 - min(t) >= 5),
+_ha AS (SELECT scenario_id, agent_id, sum(abs(state-1.5::double)*len*len)/sum(len)/sqrt(303.0::double) AS a FROM _hr GROUP BY 1,2),
+anomalies AS (SELECT scenario_id, agent_id, {sql_r4('coalesce(a,0)','anomaly')} FROM (SELECT DISTINCT scenario_id, agent_id FROM tracks) LEFT JOIN _ha USING (scenario_id, agent_id))"""
+
 QUERIES = {
     "state_runs": (state_runs, f"{_R} SELECT * FROM runs"),
     "segment_bounds": (segment_bounds, f"""{_R}, c AS (SELECT scenario_id, agent_id, start AS c FROM runs UNION SELECT scenario_id, agent_id, max(t) FROM states GROUP BY 1,2)

@@ -14,6 +14,9 @@ STEPS = 91
 NOW = 10
 HZ = 10.0
 LANE_POINTS = 32
+MAPS = 15
+#: Distance of the ids of an agent's scenarios.
+LATER = 1 << 40
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,25 +26,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(scenario_id, agent_id, t, x, y, valid): ten agents a scenario, one row per step.
 
-    A user's events after the first ``STEPS`` are dropped, here and in the SQL.
+    A scenario has ``STEPS`` steps, so an agent with more events goes on, from its first place, in
+    another scenario for every ``STEPS`` of them; ``LATER`` apart, so that ids never meet.
     """
     user = F.col("user_id")
     still = user % 7 == 0
     by_user = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    steps = (
-        table(spark, sf_dir, "events")
-        .select(
-            "user_id",
-            F.when(still, 0).otherwise(F.pmod(F.round(F.col("value") * 100).cast("long"), F.lit(200)) - 100).alias("dx"),
-            F.when(still, 0).otherwise(F.regexp_extract("props", "([0-9]+)", 1).cast("long") - 50).alias("dy"),
-            (F.col("event_type") != "error").alias("valid"),
-            (F.row_number().over(by_user) - 1).alias("t"),
-        )
-        .where(F.col("t") < STEPS)
+    place = F.row_number().over(by_user) - 1
+    steps = table(spark, sf_dir, "events").select(
+        "user_id",
+        F.when(still, 0).otherwise(F.pmod(F.round(F.col("value") * 100).cast("long"), F.lit(200)) - 100).alias("dx"),
+        F.when(still, 0).otherwise(F.regexp_extract("props", "([0-9]+)", 1).cast("long") - 50).alias("dy"),
+        (F.col("event_type") != "error").alias("valid"),
+        F.floor(place / STEPS).alias("part"),
+        F.pmod(place, F.lit(STEPS)).alias("t"),
     )
-    so_far = Window.partitionBy("user_id").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    so_far = Window.partitionBy("user_id", "part").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
     return steps.select(
-        F.floor(user / 10).alias("scenario_id"),
+        (F.floor(user / 10) + F.col("part") * LATER).alias("scenario_id"),
         user.alias("agent_id"),
         F.col("t").cast("int").alias("t"),
         (((user % 10) * 200 + F.sum("dx").over(so_far)) / F.lit(100.0)).alias("x"),
@@ -50,6 +52,16 @@ def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def scene_maps(tracks: DataFrame) -> DataFrame:
+    """(scenario_id, map_id): the map that each scenario lies on."""
+    return tracks.select("scenario_id").distinct().withColumn("map_id", F.col("scenario_id") % MAPS)
+
+
+def targets(tracks: DataFrame) -> DataFrame:
+    """(scenario_id, agent_id) of the agents to predict."""
+    return tracks.select("scenario_id", "agent_id").distinct().where(F.col("agent_id") % 10 <= 2)
+
+
 def with_type(df: DataFrame, agent: str = "agent_id") -> DataFrame:
     """``df`` with object type, length, width and whether the agent is a target."""
     slot = F.col(agent) % 10
@@ -64,13 +76,13 @@ def with_type(df: DataFrame, agent: str = "agent_id") -> DataFrame:
 
 
 def lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(lane_id, lane_type, limit_mph, exit_lane, slot): a lane is in scenarios of its slot."""
+    """(lane_id, lane_type, limit_mph, exit_lane, map_id)."""
     return table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("lane_id"),
         (F.col("label") % 4).alias("lane_type"),
         (25 + 5 * (F.col("label") % 5)).cast("double").alias("limit_mph"),
         (F.col("vec_id") + 1).alias("exit_lane"),
-        (F.col("vec_id") % 15).alias("slot"),
+        (F.col("vec_id") % MAPS).alias("map_id"),
     )
 
 
@@ -124,12 +136,11 @@ _e AS (SELECT user_id,
          CASE WHEN user_id % 7 = 0 THEN 0 ELSE CAST(round(value*100) AS BIGINT) % 200 - 100 END AS dx,
          CASE WHEN user_id % 7 = 0 THEN 0 ELSE CAST(regexp_extract(props,'([0-9]+)',1) AS BIGINT) - 50 END AS dy,
          event_type <> 'error' AS valid,
-         row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS t FROM events),
-tracks AS (SELECT user_id // 10 AS scenario_id, user_id AS agent_id, CAST(t AS INT) AS t,
+         row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS n FROM events),
+tracks AS (SELECT user_id // 10 + n // 91 * 1099511627776 AS scenario_id, user_id AS agent_id, CAST(n % 91 AS INT) AS t,
          ((user_id % 10)*200 + sum(dx) OVER w)/100.0::double AS x,
          ((user_id % 10)*100 + sum(dy) OVER w)/100.0::double AS y, valid
-       FROM _e WHERE t < 91
-       WINDOW w AS (PARTITION BY user_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
+       FROM _e WINDOW w AS (PARTITION BY user_id, n // 91 ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
 SQL_TYPES = """
 typed AS (SELECT *, CASE WHEN agent_id % 10 <= 5 THEN 'TYPE_VEHICLE' WHEN agent_id % 10 <= 7 THEN 'TYPE_PEDESTRIAN'
                     ELSE 'TYPE_CYCLIST' END AS object_type,
@@ -138,7 +149,7 @@ typed AS (SELECT *, CASE WHEN agent_id % 10 <= 5 THEN 'TYPE_VEHICLE' WHEN agent_
          agent_id % 10 <= 2 AS is_target FROM tracks)"""
 SQL_LANES = """
 lanes AS (SELECT vec_id AS lane_id, label % 4 AS lane_type, (25 + 5*(label % 5))::double AS limit_mph,
-         vec_id + 1 AS exit_lane, vec_id % 15 AS slot FROM embeddings)"""
+         vec_id + 1 AS exit_lane, vec_id % 15 AS map_id FROM embeddings)"""
 SQL_POINTS = """
 _f AS (SELECT vec_id AS lane_id, unnest(embedding) AS e, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings),
 _s AS (SELECT lane_id, CAST(i // 2 AS INT) AS pt,
