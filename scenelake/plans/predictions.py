@@ -42,19 +42,6 @@ def nms_endpoints(spark: SparkSession, d: str) -> DataFrame:
     return pr.nms(world.modes(spark, d), 2.5, 6)
 
 
-def ade_by_type(spark: SparkSession, d: str) -> DataFrame:
-    """Mean over objects of the least error over modes, by object type."""
-    e = _errors(spark, d).groupBy("object_id", "object_type").agg(F.min("fde").alias("m"))
-    return e.groupBy("object_type").agg(F.count("*").alias("n"), r4("min_fde", F.avg("m")))
-
-
-def min_ade_fde_miss(spark: SparkSession, d: str) -> DataFrame:
-    """Least error and whether all of an object's modes miss by more than 2 along or 1 across."""
-    miss = (F.abs(F.col("x") - F.col("tx")) > 6) | (F.abs(F.col("y") - F.col("ty")) > 3)
-    e = _errors(spark, d).groupBy("object_id", "object_type").agg(F.min("fde").alias("m"), F.min(miss.cast("int")).alias("miss"))
-    return e.groupBy("object_type").agg(r4("min_fde", F.avg("m")), r4("miss_rate", F.avg(F.col("miss").cast("double"))))
-
-
 def best_member_label(spark: SparkSession, d: str) -> DataFrame:
     """The model whose best mode is nearest to the truth, and by how much it beats the next model."""
     e = _errors(spark, d).groupBy("object_id", "model_id").agg(F.round(F.min("fde"), 6).alias("fde"))
@@ -155,8 +142,6 @@ QUERIES = {
           SELECT object_id, m, list_transform(v, lambda z, i: CASE WHEN i = p THEN -1.0::double WHEN z > 0 AND sqrt((m[i].x-m[p].x)*(m[i].x-m[p].x) + (m[i].y-m[p].y)*(m[i].y-m[p].y)) < 2.5 THEN 0.0::double ELSE z END), n+1, p
           FROM (SELECT *, list_position(v, list_max(v)) AS p FROM r WHERE n < least(6, len(m))))
         SELECT object_id, n-1 AS rank, m[pick].mode AS mode FROM r WHERE n > 0"""),
-    "ade_by_type": (ade_by_type, f"{_B} SELECT object_type, count(*) AS n, {sql_r4('avg(m)','min_fde')} FROM best GROUP BY 1"),
-    "min_ade_fde_miss": (min_ade_fde_miss, f"{_E}, b AS (SELECT object_id, object_type, min(fde) AS m, min((abs(x-tx)>6 OR abs(y-ty)>3)::int) AS miss FROM err GROUP BY 1,2) SELECT object_type, {sql_r4('avg(m)','min_fde')}, {sql_r4('avg(miss::double)','miss_rate')} FROM b GROUP BY 1"),
     "best_member_label": (best_member_label, f"{_E}, e AS (SELECT object_id, model_id, round(min(fde),6) AS fde FROM err GROUP BY 1,2) SELECT object_id, model_id, {sql_r4('fde','fde')}, {sql_r4('lead(fde) OVER w - fde','lead')} FROM e WINDOW w AS (PARTITION BY object_id ORDER BY fde, model_id) QUALIFY row_number() OVER w = 1"),
     "collision_rate": (collision_rate, f"""{_E}, h AS (SELECT e.object_type, e.object_id, e.mode, {sql_norm('e.x-t.tx','e.y-t.ty')} AS d FROM err e JOIN truths t ON e.object_id//32=t.object_id//32 AND e.object_id<>t.object_id),
         n AS (SELECT object_type, count(*) AS n_modes FROM err GROUP BY 1), s AS (SELECT object_type, count(*) FILTER (d<0.25) AS a, count(*) FILTER (d<0.5) AS b, count(*) FILTER (d<1) AS c FROM h GROUP BY 1)

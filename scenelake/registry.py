@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from scenelake.plans import basics, kinematics, lanes, pairs, predictions, primitives, scoring
+from scenelake.plans import basics, kinematics, lanes, pairs, predictions, primitives, scoring, trajectories
 
 FLAGSHIP = "scene_scores"
-_MODULES = (kinematics, pairs, lanes, scoring, predictions, primitives, basics)
+_MODULES = (kinematics, pairs, lanes, scoring, predictions, primitives, basics, trajectories)
 _ALL = {name: pair for module in _MODULES for name, pair in module.QUERIES.items()}
 
 

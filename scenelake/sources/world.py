@@ -165,3 +165,31 @@ SQL_TRUTHS = """
 truths AS (SELECT o_orderkey AS object_id, CASE o_custkey % 3 WHEN 0 THEN 'TYPE_VEHICLE' WHEN 1 THEN 'TYPE_PEDESTRIAN'
            ELSE 'TYPE_CYCLIST' END AS object_type, (CAST(floor(o_totalprice) AS BIGINT) % 51)::double AS tx,
          (o_custkey % 11)::double AS ty FROM orders)"""
+
+
+SAMPLES = 16
+
+
+def mode_paths(modes: DataFrame) -> DataFrame:
+    """(object_id, mode, score, path): 2 Hz samples from the origin to each endpoint, bowed by the mode."""
+    def at(i):
+        u = (i + 1) / F.lit(float(SAMPLES))
+        bow = (F.col("mode") % 3 - 1) * 2.0
+        return F.struct((F.col("x") * u).alias("x"), (F.col("y") * u + bow * u * (1 - u)).alias("y"))
+
+    return modes.select("object_id", "mode", "score", F.transform(F.sequence(F.lit(0), F.lit(SAMPLES - 1)), at).alias("path"))
+
+
+def true_paths(truths: DataFrame) -> DataFrame:
+    """(object_id, object_type, path): 2 Hz samples to the true endpoints, some of them not valid."""
+    def at(i):
+        u = (i + 1) / F.lit(float(SAMPLES))
+        return F.struct((F.col("tx") * u).alias("x"), (F.col("ty") * u * u).alias("y"), ((F.col("object_id") + i) % 11 != 0).alias("valid"))
+
+    return truths.select("object_id", "object_type", F.transform(F.sequence(F.lit(0), F.lit(SAMPLES - 1)), at).alias("path"))
+
+
+SQL_PATHS = """
+_k AS (SELECT k, (k+1)/16.0::double AS u FROM range(16) r(k)),
+mpaths AS (SELECT object_id, mode, score, k, x*u AS x, y*u + (mode % 3 - 1)*2.0::double*u*(1-u) AS y FROM modes, _k),
+tpaths AS (SELECT object_id, object_type, k, tx*u AS x, ty*u*u AS y, (object_id + k) % 11 <> 0 AS valid FROM truths, _k)"""
