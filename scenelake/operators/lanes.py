@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from scenelake.functions.geometry import dist, exact_mean, norm
 from scenelake.operators.kinematics import AGENT
-from scenelake.operators.pairs import NEIGHBOURS
+from scenelake.operators.pairs import neighbours
 
 EPS = 1e-8
 
@@ -174,7 +174,7 @@ def near(
     """
     cell = lambda x, y: [F.floor(F.col(c) / reach).alias(n) for c, n in ((x, "gx"), (y, "gy"))]
     grid = vertices(points).join(lanes.select("lane_id", "map_id"), "lane_id").select("map_id", "lane_id", *_VERTEX, *cell("vx", "vy"))
-    here = tracks.where("valid").join(maps, "scenario_id").select("map_id", *AGENT, "t", "x", "y", *cell("x", "y"), NEIGHBOURS.alias("o"))
+    here = tracks.where("valid").join(maps, "scenario_id").select("map_id", *AGENT, "t", "x", "y", *cell("x", "y"), neighbours().alias("o"))
     here = here.withColumns({"gx": F.col("gx") + F.col("o.a"), "gy": F.col("gy") + F.col("o.b")}).drop("o")
     met = here.join(grid, ["map_id", "gx", "gy"]).withColumn("v", _to_vertex(F.struct(*_VERTEX))).where(F.col("v.d") <= reach)
     best = met.groupBy(*AGENT, "t", "x", "y", "lane_id").agg(F.min("v").alias("v"))
@@ -203,7 +203,7 @@ def intersections(points: DataFrame, lanes: DataFrame, radius: float = 0.05) ->
     cells of others."""
     cell = [F.floor(F.col(c) / radius).alias(f"c{c}") for c in "xy"]
     own = points.join(lanes, "lane_id").select("map_id", "lane_id", "exit_lane", "x", "y", *cell)
-    around = NEIGHBOURS.alias("o")
+    around = neighbours().alias("o")
     left = own.select("map_id", F.col("lane_id").alias("i"), F.col("exit_lane").alias("exit_i"), F.col("x").alias("xi"), F.col("y").alias("yi"), "cx", "cy", around)
     left = left.withColumns({"cx": F.col("cx") + F.col("o.a"), "cy": F.col("cy") + F.col("o.b")}).drop("o")
     right = own.select("map_id", F.col("lane_id").alias("j"), F.col("x").alias("xj"), F.col("y").alias("yj"), "cx", "cy")

@@ -122,7 +122,7 @@ def crossings(tracks: DataFrame, within: float = 1.0, other: DataFrame | None =
     v = tracks.where("valid")
     cell = [F.floor(F.col(c) / within).alias(f"c{c}") for c in "xy"]
     right = (v if other is None else other.where("valid")).select("scenario_id", F.col("agent_id").alias("j"), F.col("t").alias("tj"), F.col("x").alias("xj"), F.col("y").alias("yj"), *cell)
-    around = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)))).alias("o")
+    around = neighbours().alias("o")
     left = v.select("scenario_id", F.col("agent_id").alias("i"), F.col("t").alias("ti"), F.col("x").alias("xi"), F.col("y").alias("yi"), *cell, around)
     left = left.withColumns({"cx": F.col("cx") + F.col("o.a"), "cy": F.col("cy") + F.col("o.b")}).drop("o")
     near = left.join(right, ["scenario_id", "cx", "cy"]).where(
@@ -180,8 +180,10 @@ def agent_mttcp(moving: DataFrame, e1: float = 1e-3, other: DataFrame | None = N
     return rows.groupBy(*PAIR).agg(F.min(gap).alias("mttcp"), F.countDistinct("ti").alias("n_crossings"))
 
 
-#: A grid cell and its eight neighbours, as steps (a, b).
-NEIGHBOURS = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1))))
+def neighbours() -> Column:
+    """A grid cell and its eight neighbours, as a row each of steps (a, b)."""
+    steps_ = (F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1))
+    return F.explode(F.array(*steps_))
 
 
 def nearest_to_points(tracks: DataFrame, maps: DataFrame, points: DataFrame, radius: float) -> DataFrame:
@@ -192,7 +194,7 @@ def nearest_to_points(tracks: DataFrame, maps: DataFrame, points: DataFrame, rad
     """
     grid = points.select("*", *(F.floor(F.col(f"c{c}") / radius).alias(f"g{c}") for c in "xy"))
     here = tracks.where("valid").select(*AGENT, "t", "x", "y", *(F.floor(F.col(c) / radius).alias(f"g{c}") for c in "xy"))
-    here = here.withColumn("o", NEIGHBOURS).withColumns({"gx": F.col("gx") + F.col("o.a"), "gy": F.col("gy") + F.col("o.b")})
+    here = here.withColumn("o", neighbours()).withColumns({"gx": F.col("gx") + F.col("o.a"), "gy": F.col("gy") + F.col("o.b")})
     near = here.join(maps, "scenario_id").join(grid, ["map_id", "gx", "gy"])
     near = near.withColumn("d", dist(F.col("x"), F.col("y"), F.col("cx"), F.col("cy"))).where(F.col("d") <= radius)
     best = near.groupBy(*AGENT, "cp_id", "cx", "cy").agg(F.min(F.struct("d", "t")).alias("b"))
