@@ -153,8 +153,7 @@ def detections(moving: DataFrame) -> DataFrame:
 
 
 def grid_rarity(moving: DataFrame, bins: int = 10, top: float = 60.0) -> DataFrame:
-    """C = (1/M)(N/sqrt(M)) of each agent: N steps of it in M different cells of a speed-by-heading
-    grid, weighted by how many of all steps share its cells."""
+    """C = (1/M)(N/sqrt(M)) of each agent: N steps of it in M different cells of a speed-by-heading grid."""
     cell = moving.withColumns(
         {
             "bv": F.least(F.floor(F.col("speed") / (top / bins)), F.lit(bins - 1)),

@@ -52,6 +52,32 @@ def lloyd(points: DataFrame, k: int, rounds: int, key: str) -> DataFrame:
     return nearest_centroid(points, centroids, key)
 
 
+def nearest_in_group(points: DataFrame, centres: DataFrame, group: str) -> DataFrame:
+    """``points`` with k and dist of the nearest centre of their group; ``centres`` (group, k, cx, cy) are
+    few: groups times clusters."""
+    table = centres.groupBy(group).agg(F.collect_list(F.struct("k", "cx", "cy")).alias("cs"))
+    near = F.array_min(
+        F.transform("cs", lambda c: F.struct(F.round(dist(F.col("x"), F.col("y"), c["cx"], c["cy"]), 6).alias("dist"), c["k"].alias("k")))
+    )
+    return points.join(F.broadcast(table), group).withColumn("n", near).select("*", "n.k", "n.dist").drop("cs", "n")
+
+
+def centres(named: DataFrame, group: str) -> DataFrame:
+    """Mean places of clusters, by integer sums of hundredths."""
+    return named.groupBy(group, "k").agg(
+        *((F.sum(F.round(F.col(c) * 100).cast("long")) / F.count("*") / 100.0).alias(f"c{c}") for c in "xy")
+    )
+
+
+def lloyd_groups(points: DataFrame, group: str, k: int, rounds: int, order: list[str]) -> DataFrame:
+    """Lloyd's rounds within every group at once, from its first ``k`` points in ``order``."""
+    first = F.row_number().over(Window.partitionBy(group).orderBy(*order))
+    at = points.withColumn("k", first - 1).where(F.col("k") < k).select(group, "k", F.col("x").alias("cx"), F.col("y").alias("cy"))
+    for _ in range(rounds):
+        at = centres(nearest_in_group(points, at, group), group)
+    return nearest_in_group(points, at, group)
+
+
 def _cubic_error(t: np.ndarray, xy: np.ndarray) -> float:
     """Greatest distance of points to their least-squares cubics."""
     if len(t) < 2:

@@ -232,7 +232,7 @@ _E = f"{_S},{SQL_ENDS}"
 
 
 def _assign(c: str, out: str) -> str:
-    return f"{out} AS (SELECT agent_id, x, y, k, round({sql_norm('x-cx','y-cy')},6) AS dist FROM ends, {c} QUALIFY row_number() OVER (PARTITION BY agent_id ORDER BY round({sql_norm('x-cx','y-cy')},6), k)=1)"
+    return f"{out} AS (SELECT scenario_id, agent_id, x, y, k, round({sql_norm('x-cx','y-cy')},6) AS dist FROM ends, {c} QUALIFY row_number() OVER (PARTITION BY scenario_id, agent_id ORDER BY round({sql_norm('x-cx','y-cy')},6), k)=1)"
 
 
 def _means(a: str, out: str) -> str:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from scenelake.plans import basics, kinematics, lanes, pairs, predictions, primitives, scoring, shapes, trajectories
+from scenelake.plans import basics, kinematics, lanes, pairs, predictions, primitives, samples, scoring, shapes, trajectories
 
 FLAGSHIP = "scene_scores"
-_MODULES = (kinematics, pairs, lanes, scoring, predictions, primitives, basics, trajectories, shapes)
+_MODULES = (kinematics, pairs, lanes, scoring, predictions, primitives, basics, trajectories, shapes, samples)
 _ALL = {name: pair for module in _MODULES for name, pair in module.QUERIES.items()}
 
 
