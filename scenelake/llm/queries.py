@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -130,6 +129,13 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of the corpus pipeline, whose script lies beside the package."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
     return {
         "op1_language_id": op1_language_id,
@@ -142,7 +148,7 @@ def queries() -> dict:
         "op8_packing": op8_packing,
         "op9_simhash": op9_simhash,
         "op10_licences": op10_licences,
-        "pipeline": corpus_pipeline.run,
+        "pipeline": pipeline,
     }
 
 
