@@ -108,10 +108,9 @@ def knn_vote(spark: SparkSession, d: str) -> DataFrame:
 
 
 def procrustes_rmsd(spark: SparkSession, d: str) -> DataFrame:
-    """RMSD of each agent's first 30 steps to those of agent 1 after the best rotation."""
-    t = world.tracks(spark, d).where("t < 30")
-    shapes = t.select(*A, F.col("t").alias("i"), "x", "y")
-    ref = shapes.where("agent_id = 1")
+    """RMSD of each agent's track to that of agent 1, over their common steps, after the best rotation."""
+    shapes = world.tracks(spark, d).select(*A, F.col("t").alias("i"), "x", "y")
+    ref = shapes.where("agent_id = 1 and scenario_id = 0")
     mid = ref.agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))
     ref = ref.crossJoin(F.broadcast(mid)).select("i", (F.col("x") - F.col("mx")).alias("rx"), (F.col("y") - F.col("my")).alias("ry"))
     return pm.align_2d(shapes, F.broadcast(ref), A).select(*A, r4("rmsd"))
@@ -263,8 +262,8 @@ QUERIES = {
         s AS (SELECT agent_id, min(m) FILTER (k=ok) AS a, min(m) FILTER (k<>ok) AS b FROM m GROUP BY 1 HAVING a IS NOT NULL AND b IS NOT NULL) SELECT agent_id, {sql_r4('a','a')}, {sql_r4('b','b')}, {sql_r4('(b-a)/nullif(greatest(a,b),0)','s')} FROM s"""),
     "knn_vote": (knn_vote, f"""{_E}, n AS (SELECT a.scenario_id, a.agent_id, b.agent_id%3 AS label FROM ends a JOIN ends b ON a.scenario_id=b.scenario_id AND a.agent_id<>b.agent_id QUALIFY row_number() OVER (PARTITION BY a.agent_id ORDER BY round({sql_norm('a.x-b.x','a.y-b.y')},6), b.agent_id) <= 5),
         v AS (SELECT scenario_id, agent_id, label, count(*) AS c FROM n GROUP BY 1,2,3) SELECT scenario_id, agent_id, label FROM v QUALIFY row_number() OVER (PARTITION BY agent_id ORDER BY c DESC, label)=1"""),
-    "procrustes_rmsd": (procrustes_rmsd, f"""{_S}, s AS (SELECT scenario_id, agent_id, t, x-avg(x) OVER p AS x, y-avg(y) OVER p AS y FROM tracks WHERE t<30 WINDOW p AS (PARTITION BY scenario_id, agent_id)),
-        q AS (SELECT s.scenario_id, s.agent_id, sum(s.x*r.y-s.y*r.x) AS c, sum(s.x*r.x+s.y*r.y) AS d, sum(s.x*s.x+s.y*s.y+r.x*r.x+r.y*r.y) AS z, count(*) AS n FROM s JOIN s r ON r.agent_id=1 AND r.t=s.t GROUP BY 1,2)
+    "procrustes_rmsd": (procrustes_rmsd, f"""{_S}, s AS (SELECT scenario_id, agent_id, t, x-avg(x) OVER p AS x, y-avg(y) OVER p AS y FROM tracks WINDOW p AS (PARTITION BY scenario_id, agent_id)),
+        q AS (SELECT s.scenario_id, s.agent_id, sum(s.x*r.y-s.y*r.x) AS c, sum(s.x*r.x+s.y*r.y) AS d, sum(s.x*s.x+s.y*s.y+r.x*r.x+r.y*r.y) AS z, count(*) AS n FROM s JOIN s r ON r.agent_id=1 AND r.scenario_id=0 AND r.t=s.t GROUP BY 1,2)
         SELECT scenario_id, agent_id, {sql_r4('sqrt(greatest(0, z-2*sqrt(c*c+d*d))/n)','rmsd')} FROM q"""),
     "coverage_by_type": (coverage_by_type, f"""WITH {SQL_TRACKS},{SQL_MOVING},{SQL_POINTS},{SQL_LANES},{SQL_NEAR}, g AS (SELECT m.agent_id, avg(speed)<0.25 AS stationary, count(*) FILTER (valid)/count(*) AS v, count(n.d)/count(*) AS l FROM moving m LEFT JOIN near n ON n.scenario_id=m.scenario_id AND n.agent_id=m.agent_id AND n.t=m.t AND n.rank=1 AND n.d<=5 GROUP BY 1)
         SELECT CASE WHEN agent_id%10<=5 THEN 'TYPE_VEHICLE' WHEN agent_id%10<=7 THEN 'TYPE_PEDESTRIAN' ELSE 'TYPE_CYCLIST' END AS object_type, stationary, count(*) AS n, {sql_r4('avg(v)','valid')}, {sql_r4('avg(l)','lane')} FROM g GROUP BY 1,2"""),
