@@ -13,6 +13,7 @@ from scenelake.operators import pairs as p
 from scenelake.operators import predictions as pr
 from scenelake.operators import scoring as sc
 from scenelake.plans.lanes import best_lane
+from scenelake.sources import world
 
 TRACK = "scenario_id long, agent_id long, t int, x double, y double, valid boolean"
 
@@ -96,8 +97,12 @@ def test_road_frame_round_trip(spark):
 
 def test_nearest_lane_projects(spark, track):
     points = spark.createDataFrame([(5, 0, 0.0, 0.0), (5, 1, 10.0, 0.0), (6, 0, 0.0, 4.0), (6, 1, 10.0, 4.0)], "lane_id long, pt int, x double, y double")
-    lanes = spark.createDataFrame([(5, 0), (6, 0)], "lane_id long, slot long")
-    r = ln.nearest(track([(5, 1)]), lanes, points, 1).first()
+    lanes = spark.createDataFrame([(5, 0), (6, 0)], "lane_id long, map_id long")
+    here = track([(5, 1)])
+    maps = here.select("scenario_id").distinct().selectExpr("scenario_id", "0L AS map_id")
+    r = ln.nearest(here, maps, lanes, points, 1).first()
+    near = ln.near(here, maps, lanes, points).where("rank = 1").first()
+    assert (near.lane_id, near.d) == (r.lane_id, r.d)
     assert (r.lane_id, r.d) == (5, 1.0)
 
 
@@ -111,7 +116,7 @@ def test_best_lane_averages_over_all_steps(spark, tmp_path):
     lanes = spark.range(10_002).select((F.col("id") * 15).alias("vec_id"), lane.alias("embedding"), F.lit(0).alias("label"))
     lanes.write.parquet(f"{tmp_path}/embeddings.parquet")
     (r,) = best_lane(spark, str(tmp_path)).collect()
-    assert (r.lane_id, r.sim) == (15, pytest.approx(1 / 0.495, abs=1e-4))
+    assert (r.lane_id, r.sim) == (15, pytest.approx(1 / (0.495 + 0.495), abs=1e-4))  # distance and shape
 
 
 def test_nms_picks_and_ties(spark):
@@ -145,3 +150,51 @@ def test_angles(spark):
     assert one(r, g.wrap(F.lit(math.pi))) == pytest.approx(-math.pi)
     assert one(r, g.heading_difference(F.lit(170.0), F.lit(-170.0))) == pytest.approx(20)
     assert one(r, g.nms_radius(F.lit(30.0))) == pytest.approx(3.25) and one(r, g.inverse(F.lit(0.0))) == float("inf")
+
+
+def test_one_sided_scores_are_put_on_pairs(spark):
+    """i completed against j reported: side0 is of the smaller id; each agent counts its own side."""
+    rows = [(1, 2, 5, 3.0), (1, 5, 2, 7.0), (1, 5, 9, 1.0)]
+    ordered = spark.createDataFrame(rows, "scenario_id long, i long, j long, score double")
+    sides = {(r.i, r.j): (r.side0, r.side1) for r in sc.rekeyed(ordered, "score").collect()}
+    assert sides == {(2, 5): (3.0, 7.0), (5, 9): (1.0, 0.0)}
+    pairs = spark.createDataFrame([(1, 2, 5, 4.0, 2.0, 6.0, 3.0, 7.0, 1.5, 1.0)], "scenario_id long, i long, j long, gt double, fe double, lim double, side0 double, side1 double, d_gt double, d_fe double")
+    got = {r.agent_id: (r.gt, r.fe, r.asym, r.combined, r.asym_combined, r.fe_lim) for r in sc.pair_variants(pairs).collect()}
+    assert got == {2: (4.0, 2.0, 3.0, 4.0, 4.0, 6.0), 5: (4.0, 2.0, 7.0, 4.0, 7.0, 6.0)}
+
+
+def test_percentiles_equal_numpy(spark):
+    import numpy as np
+
+    for values in ([1.0], [3.0, 1.0], [2.0] * 7, np.random.default_rng(1).normal(size=500).round(1).tolist()):
+        df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
+        got = sc.percentiles(df, "v", {"a": 0.005, "b": 0.5, "c": 0.8, "d": 1.0}).first()
+        assert np.allclose(list(got), np.percentile(values, [0.5, 50, 80, 100]))
+
+
+def test_an_agent_goes_on_in_another_scenario(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    start = datetime(2020, 1, 1)
+    rows = [(i, 11, start + timedelta(seconds=i), "view", 0.5, '{"k": 60}') for i in range(200)]
+    spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp, event_type string, value double, props string").write.parquet(f"file://{tmp_path}/events.parquet")
+    t = world.tracks(spark, f"file://{tmp_path}")
+    n = {r.scenario_id: r["count"] for r in t.groupBy("scenario_id").count().collect()}
+    assert n == {1: 91, 1 + world.LATER: 91, 1 + 2 * world.LATER: 18}
+    first = t.where("t = 0").select("x", "y").distinct().collect()
+    assert len(first) == 1
+
+
+def test_misses_in_the_frame_of_the_true_heading(spark):
+    """Along the heading six metres are allowed at eight seconds and full speed, across it three."""
+    from scenelake.operators import trajectories as tr
+
+    truth = [(0.0, 6.0 * i, True) for i in range(16)]  # upwards at 12 m/s
+    def modes(dx, dy):
+        return [(0.0 + dx, 6.0 * i + dy) for i in range(16)]
+    paths = spark.createDataFrame([(1, m, 1.0 / (m + 1), modes(*e)) for m, e in enumerate([(0, 5.9), (0, 6.1), (2.9, 0), (3.1, 0)])], "object_id long, mode int, score double, path array<struct<x: double, y: double>>")
+    truths = spark.createDataFrame([(1, "TYPE_VEHICLE", truth)], "object_id long, object_type string, path array<struct<x: double, y: double, valid: boolean>>")
+    found = tr.errors(paths, truths)
+    got = {r.mode: r.miss for r in tr.misses(found).where("seconds = 8").collect()}
+    assert got == {0: False, 1: True, 2: False, 3: True}
+    assert abs(tr.least_errors(found).first().ade - 2.9) < 1e-6
