@@ -184,14 +184,18 @@ def near(
             line = line.sort_values(["lane_id", "pt"])
             ids, first = np.unique(line["lane_id"].to_numpy(), return_index=True)
             vx, vy, px, py, nx, ny = (line[c].to_numpy(float) for c in ("vx", "vy", "px", "py", "nx", "ny"))
+            # a lane within reach of its projection has a vertex no farther than that and its segment
+            longest = np.nanmax(np.sqrt((nx - vx) ** 2 + (ny - vy) ** 2), initial=0.0)
+            bound = min(reach, np.hypot(within, longest) + 1e-6)
+            sizes, place = np.diff(np.append(first, len(vx))), np.arange(len(vx))
             for at in range(0, len(steps), 256):
                 part = steps.iloc[at : at + 256]
                 x, y = part["x"].to_numpy()[:, None], part["y"].to_numpy()[:, None]
                 d = np.sqrt((x - vx) ** 2 + (y - vy) ** 2).round(6)
                 least = np.minimum.reduceat(d, first, axis=1)
-                row, lane = np.nonzero(least <= reach)
-                ends = np.append(first[1:], len(vx))
-                v = np.array([f + d[r, f:e].argmin() for r, f, e in zip(row, first[lane], ends[lane])], int)
+                row, lane = np.nonzero(least <= bound)
+                nearest_ = np.where(d == np.repeat(least, sizes, axis=1), place, len(vx))
+                v = np.minimum.reduceat(nearest_, first, axis=1)[row, lane]
                 best, x, y = least[row, lane], x[row, 0], y[row, 0]
                 for ox, oy in ((nx, ny), (px, py)):
                     ux, uy = ox[v] - vx[v], oy[v] - vy[v]
