@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from scenelake.functions.geometry import round_
 from scenelake.operators import basics as bs
 from scenelake.operators import kinematics as k
 from scenelake.operators import pairs as p
@@ -77,7 +78,7 @@ def prediction_rows(spark: SparkSession, d: str) -> DataFrame:
 def label_cache(spark: SparkSession, d: str) -> DataFrame:
     """Best-member labels under the name of their configuration, joined to objects by key."""
     m = world.modes(spark, d).join(world.truths(spark, d), "object_id")
-    e = F.round(F.sqrt((F.col("x") - F.col("tx")) ** 2 + (F.col("y") - F.col("ty")) ** 2), 6)
+    e = round_(F.sqrt((F.col("x") - F.col("tx")) ** 2 + (F.col("y") - F.col("ty")) ** 2), 6)
     best = m.groupBy("object_id").agg(F.min(F.struct(e.alias("e"), "model_id")).alias("b"))
     labels = handed_on(best.select("object_id", F.col("b.model_id").alias("label"), bs.config_hash(CONFIG).alias("config")), "labels")
     return world.truths(spark, d).join(labels, "object_id").select("object_id", "object_type", "label", "config")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scenelake.functions.geometry import dist, gaussian_nll, sine_embedding
+from scenelake.functions.geometry import dist, gaussian_nll, round_, sine_embedding
 from scenelake.operators import predictions as pr
 from scenelake.plans.helpers import r4, rounded, sql_norm, sql_r4
 from scenelake.sources import world
@@ -17,15 +17,15 @@ def _errors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def mode_topk_normalised(spark: SparkSession, d: str) -> DataFrame:
-    return pr.top_modes(world.modes(spark, d), 6).select("object_id", "mode", "rank", (F.round("score", 6)).alias("score"))
+    return pr.top_modes(world.modes(spark, d), 6).select("object_id", "mode", "rank", (round_("score", 6)).alias("score"))
 
 
 def joint_ensemble(spark: SparkSession, d: str) -> DataFrame:
     """Modes of all models pooled, each model's scores normalised before, ranked anew."""
     m = world.modes(spark, d)
     pooled = m.withColumn("share", F.col("score") / F.sum("score").over(Window.partitionBy("object_id", "model_id")))
-    w = Window.partitionBy("object_id").orderBy(F.desc(F.round("share", 6)), "mode")
-    return pooled.withColumn("rank", F.row_number().over(w)).select("object_id", "mode", "model_id", "rank", F.round("share", 6).alias("share"))
+    w = Window.partitionBy("object_id").orderBy(F.desc(round_("share", 6)), "mode")
+    return pooled.withColumn("rank", F.row_number().over(w)).select("object_id", "mode", "model_id", "rank", round_("share", 6).alias("share"))
 
 
 def confident_model(spark: SparkSession, d: str) -> DataFrame:
@@ -35,7 +35,7 @@ def confident_model(spark: SparkSession, d: str) -> DataFrame:
 
 
 def softmax_modes(spark: SparkSession, d: str) -> DataFrame:
-    return pr.softmax(world.modes(spark, d), 10000.0).select("object_id", "mode", F.round("p", 6).alias("p"))
+    return pr.softmax(world.modes(spark, d), 10000.0).select("object_id", "mode", round_("p", 6).alias("p"))
 
 
 def nms_endpoints(spark: SparkSession, d: str) -> DataFrame:
@@ -44,7 +44,7 @@ def nms_endpoints(spark: SparkSession, d: str) -> DataFrame:
 
 def best_member_label(spark: SparkSession, d: str) -> DataFrame:
     """The model whose best mode is nearest to the truth, and by how much it beats the next model."""
-    e = _errors(spark, d).groupBy("object_id", "model_id").agg(F.round(F.min("fde"), 6).alias("fde"))
+    e = _errors(spark, d).groupBy("object_id", "model_id").agg(round_(F.min("fde"), 6).alias("fde"))
     w = Window.partitionBy("object_id").orderBy("fde", "model_id")
     r = e.withColumns({"rank": F.row_number().over(w), "next": F.lead("fde").over(w)}).where("rank = 1")
     return r.select("object_id", "model_id", r4("fde"), r4("lead", F.col("next") - F.col("fde")))
@@ -82,7 +82,7 @@ def soft_collision_cost(spark: SparkSession, d: str) -> DataFrame:
     m = _errors(spark, d).withColumn("block", F.floor(F.col("object_id") / 32))
     t = world.truths(spark, d).select(F.col("object_id").alias("other"), F.col("tx").alias("ox"), F.col("ty").alias("oy"), F.floor(F.col("object_id") / 32).alias("block"))
     c = m.join(t, "block").where("object_id <> other").groupBy("object_id", "mode", "fde").agg(F.sum(F.exp(-dist(F.col("x"), F.col("y"), F.col("ox"), F.col("oy")))).alias("s"))
-    c = c.withColumn("cost", F.round(100 * F.col("s") + F.col("fde"), 6))
+    c = c.withColumn("cost", round_(100 * F.col("s") + F.col("fde"), 6))
     return pr.best_by(c, "cost", "mode")
 
 
@@ -100,7 +100,7 @@ def confidence_error_corr(spark: SparkSession, d: str) -> DataFrame:
 def model_cluster_choice(spark: SparkSession, d: str) -> DataFrame:
     """Mean error of each model in each cluster of objects, and the best model of the cluster."""
     e = _errors(spark, d).withColumn("cluster", F.col("object_id") % 7)
-    a = e.groupBy("cluster", "model_id").agg(F.round(F.avg("fde"), 6).alias("m"))
+    a = e.groupBy("cluster", "model_id").agg(round_(F.avg("fde"), 6).alias("m"))
     return a.groupBy("cluster").agg(F.min(F.struct("m", "model_id")).alias("b")).select("cluster", F.col("b.model_id").alias("model_id"), r4("mean_fde", F.col("b.m")))
 
 

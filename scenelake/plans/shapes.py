@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scenelake.functions.geometry import dist
+from scenelake.functions.geometry import dist, round_
 from scenelake.operators import curves as cv
 from scenelake.operators import kinematics as k
 from scenelake.operators import pairs as pr
@@ -39,24 +39,27 @@ def max_abs_distances(spark: SparkSession, d: str) -> DataFrame:
 def procrustes_matrix(spark: SparkSession, d: str) -> DataFrame:
     """Distances of tracks by shape, turned and reflected, and with a speed term."""
     m = sh.procrustes_distances(sh.shape_sums(world.tracks(spark, d))).where("n >= 3 and rotated is not null")
-    return m.select(*P, *(r4(c, F.round(c, 6)) for c in ("rotated", "reflected")), r4("with_speed", F.round(F.col("rotated"), 6) + 0.1 * F.col("speed")))
+    return m.select(*P, *(r4(c, round_(c, 6)) for c in ("rotated", "reflected")), r4("with_speed", round_(F.col("rotated"), 6) + 0.1 * F.col("speed")))
 
 
 def center_distances(spark: SparkSession, d: str) -> DataFrame:
     """Shape distance of each agent of a scene to its first one."""
     m = sh.procrustes_distances(sh.shape_sums(world.tracks(spark, d))).where("n >= 3 and rotated is not null")
     first = Window.partitionBy("scenario_id")
-    return m.withColumn("c", F.min("i").over(first)).where("i = c").select("scenario_id", F.col("j").alias("agent_id"), r4("d", F.round("rotated", 6)))
+    return m.withColumn("c", F.min("i").over(first)).where("i = c").select("scenario_id", F.col("j").alias("agent_id"), r4("d", round_("rotated", 6)))
 
 
 def relative_encounters(spark: SparkSession, d: str) -> DataFrame:
     m = sh.relative_motion(pr.aligned(world.tracks(spark, d)))
-    return m.groupBy(*P).agg(F.count("*").alias("n"), r4("min_rx", F.min("rx")), r4("max_ry", F.max("ry")), r4("mean_share", F.avg("share")))
+    n, first, span = F.count("*"), F.min("t"), F.max("t") - F.min("t")
+    # by integer sums: the same in every order
+    share = F.coalesce(F.try_divide((F.sum("t") - n * first).cast("double"), (n * span).cast("double")), F.lit(0.0))
+    return m.groupBy(*P).agg(n.alias("n"), r4("min_rx", F.min("rx")), r4("max_ry", F.max("ry")), r4("mean_share", share))
 
 
 def graph_laplacian(spark: SparkSession, d: str) -> DataFrame:
     """Laplacian of each scene's similarity graph, plain and normalised."""
-    near = pr.aligned(world.tracks(spark, d)).groupBy(*P).agg(F.round(F.exp(-F.min("d") / 10), 6).alias("w"))
+    near = pr.aligned(world.tracks(spark, d)).groupBy(*P).agg(round_(F.exp(-F.min("d") / 10), 6).alias("w"))
     both = pr.both_sides(near, "w").select("scenario_id", F.col("agent_id").alias("i"), F.col("other").alias("j"), "w")
     degree = both.groupBy("scenario_id", F.col("i").alias("a")).agg(F.sum("w").alias("g"))
     gi, gj = (degree.select("scenario_id", F.col("a").alias(n), F.col("g").alias(f"g{n}")) for n in "ij")
@@ -71,7 +74,7 @@ def _ends_pairs(spark: SparkSession, d: str) -> DataFrame:
     e = world.with_type(_ends(spark, d))
     a, b = (e.select("scenario_id", F.col("agent_id").alias(n), *(F.col(c).alias(f"{c}_{n}") for c in ("x", "y", "object_type"))) for n in "ij")
     both = a.join(b, "scenario_id").where("i < j")
-    gap = F.round(dist(F.col("x_i"), F.col("y_i"), F.col("x_j"), F.col("y_j")), 6)
+    gap = round_(dist(F.col("x_i"), F.col("y_i"), F.col("x_j"), F.col("y_j")), 6)
     return both.select(*P, gap.alias("d"), (F.col("object_type_i") == F.col("object_type_j")).alias("same"))
 
 
@@ -91,7 +94,7 @@ def _to_medoid(spark: SparkSession, d: str) -> DataFrame:
     e = _ends(spark, d)
     m = medoid(spark, d).select("scenario_id", F.col("agent_id").alias("medoid"))
     at = e.select("scenario_id", F.col("agent_id").alias("medoid"), F.col("x").alias("mx"), F.col("y").alias("my"))
-    return e.join(m.join(at, ["scenario_id", "medoid"]), "scenario_id").withColumn("d", F.round(dist(F.col("x"), F.col("y"), F.col("mx"), F.col("my")), 6))
+    return e.join(m.join(at, ["scenario_id", "medoid"]), "scenario_id").withColumn("d", round_(dist(F.col("x"), F.col("y"), F.col("mx"), F.col("my")), 6))
 
 
 def within_cluster_distance(spark: SparkSession, d: str) -> DataFrame:
@@ -144,7 +147,7 @@ def matched_clusters(spark: SparkSession, d: str) -> DataFrame:
 
 def _stability(spark: SparkSession, d: str) -> DataFrame:
     e = world.table(spark, d, "embeddings")
-    x = [F.round(F.col("embedding")[i].cast("double"), 4).alias(f"x{i}") for i in range(4)]
+    x = [round_(F.col("embedding")[i].cast("double"), 4).alias(f"x{i}") for i in range(4)]
     grid = F.explode(F.array(*(F.struct(F.lit(a).alias("k"), F.lit(b).alias("dims")) for a in (2, 3, 4, 5) for b in (1, 2, 3, 4)))).alias("g")
     rows = e.select("vec_id", *x, grid)
     rows = rows.select("g.k", "g.dims", F.pmod("vec_id", F.col("g.k")).alias("c"), *(F.when(F.col("g.dims") > i, F.col(f"x{i}")).otherwise(0.0).alias(f"x{i}") for i in range(4)))
@@ -168,7 +171,7 @@ def stability_change(spark: SparkSession, d: str) -> DataFrame:
 def cell_text(spark: SparkSession, d: str) -> DataFrame:
     """Cells of a table: mean and deviation of endpoint motion by type."""
     e = world.with_type(_ends(spark, d)).withColumn("m", F.sqrt(F.col("x") ** 2 + F.col("y") ** 2))
-    return e.groupBy("object_type").agg(F.format_string("$%.2f \\pm %.2f$", F.round(F.avg("m"), 6), F.round(F.stddev_pop("m"), 6)).alias("cell"))
+    return e.groupBy("object_type").agg(F.format_string("$%.2f \\pm %.2f$", round_(F.avg("m"), 6), round_(F.stddev_pop("m"), 6)).alias("cell"))
 
 
 def orientation_table(spark: SparkSession, d: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scenelake.functions.geometry import round_
 from scenelake.operators import trajectories as tr
 from scenelake.plans.helpers import r4, rounded, sql_norm, sql_r4
 from scenelake.sources import world
@@ -94,7 +95,7 @@ def padded_predictions(spark: SparkSession, d: str) -> DataFrame:
     m = world.modes(spark, d)
     total = m.groupBy("object_id").agg(F.sum("score").alias("total"))
     slots = world.truths(spark, d).select("object_id", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("slot"))
-    own = m.where("mode < 6").join(total, "object_id").select("object_id", F.col("mode").alias("slot"), F.round(F.col("score") / F.col("total"), 6).alias("p"), "x", "y")
+    own = m.where("mode < 6").join(total, "object_id").select("object_id", F.col("mode").alias("slot"), round_(F.col("score") / F.col("total"), 6).alias("p"), "x", "y")
     every = slots.join(own, ["object_id", "slot"], "left")
     return every.select("object_id", "slot", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("p", "x", "y")), F.col("p").isNotNull().alias("real"))
 
