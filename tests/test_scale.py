@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from scenelake.operators import kinematics as k
 from scenelake.operators import lanes as ln
+from scenelake.operators import pairs as p
 
 
 def _scenes(spark, n=30):
@@ -21,3 +23,23 @@ def test_a_map_goes_once_to_a_block_of_scenarios(spark):
     found = ln.near(tracks, maps, lanes, points).select("scenario_id", "t", "rank", "lane_id", "d")
     every = ln.nearest(tracks, maps, lanes, points).where("d <= 5").select("scenario_id", "t", "rank", "lane_id", "d")
     assert sorted(found.collect()) == sorted(every.collect())
+
+
+def test_pairs_and_points_by_scene(spark):
+    tracks, maps, lanes, points = _scenes(spark, 3)
+    two = tracks.unionByName(tracks.withColumns({"agent_id": F.col("agent_id") + 10, "y": F.lit(1.5)}))
+    moving = k.with_motion(two).withColumn("length", F.lit(4.0))
+    ends = spark.createDataFrame([(0, 7, 2.0, 1.0), (1, 8, 0.0, 0.0)], "map_id long, cp_id long, cx double, cy double")
+    found = p.interaction_features(moving, maps, ends).orderBy("scenario_id").collect()
+    assert [(r.i, r.j, r.min_d) for r in found] == [(0, 10, 1.0), (1, 11, 1.0), (2, 12, 1.0)]
+    # both come as near to the point, at the same speed
+    assert {r.scene_mttcp for r in found} == {float("inf")}
+    near = p.nearest_to_points(moving, maps, ends, 5.0)
+    assert [(r.agent_id, r.cp_id, r.d, r.t) for r in near.where("scenario_id = 0").orderBy("agent_id").collect()] == [(0, 7, 0.5, 2), (10, 7, 0.5, 2)]
+    assert "Join" not in p.pair_measures(moving)._jdf.queryExecution().optimizedPlan().toString()  # no row for each pair and step
+
+
+def test_a_map_without_a_valid_step(spark):
+    tracks, maps, lanes, points = _scenes(spark, 3)
+    ends = spark.createDataFrame([(0, 7, 2.0, 1.0)], "map_id long, cp_id long, cx double, cy double")
+    assert p.nearest_to_points(tracks.withColumn("valid", F.lit(False)), maps, ends, 5.0).collect() == []
