@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,22 +15,27 @@ from scenelake.sources.world import SQL_MODES, SQL_PATHS, SQL_TRUTHS
 ADES = ("ade3", "ade5", "ade8", "ade")
 
 
-def _paths(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return world.mode_paths(world.modes(spark, d)), world.true_paths(world.truths(spark, d))
+def _ends(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Modes and truths by their endpoints; ``world`` makes the samples of a batch."""
+    return world.modes(spark, d).select("object_id", "mode", "score", "x", "y"), world.truths(spark, d)
+
+
+def _errors(spark: SparkSession, d: str) -> DataFrame:
+    return tr.errors(*_ends(spark, d), world.mode_samples, world.true_samples)
 
 
 def _judged(spark: SparkSession, d: str) -> DataFrame:
-    return tr.misses(tr.errors(*_paths(spark, d)))
+    return tr.misses(_errors(spark, d))
 
 
 def ade_at_steps(spark: SparkSession, d: str) -> DataFrame:
     """Mean over objects of the least ADE up to 3, 5 and 8 seconds, and the mean of the three."""
-    return tr.least_errors(tr.errors(*_paths(spark, d))).agg(F.count("*").alias("n"), *(r4(c, F.avg(c)) for c in ADES))
+    return tr.least_errors(_errors(spark, d)).agg(F.count("*").alias("n"), *(r4(c, F.avg(c)) for c in ADES))
 
 
 def ade_by_type(spark: SparkSession, d: str) -> DataFrame:
     """The same by object type; types without objects have 0."""
-    found = tr.least_errors(tr.errors(*_paths(spark, d))).groupBy("object_type").agg(F.count("*").alias("n"), *(F.avg(c).alias(c) for c in ADES))
+    found = tr.least_errors(_errors(spark, d)).groupBy("object_type").agg(F.count("*").alias("n"), *(F.avg(c).alias(c) for c in ADES))
     names = F.explode(F.array(*(F.lit(f"TYPE_{n}") for n in ("VEHICLE", "PEDESTRIAN", "CYCLIST", "OTHER")))).alias("object_type")
     every = spark.range(1).select(names).join(found, "object_type", "left")
     return every.select("object_type", F.coalesce("n", F.lit(0)).alias("n"), *(r4(c, F.coalesce(c, F.lit(0.0))) for c in ADES))
@@ -43,9 +49,19 @@ def _placed(paths: DataFrame) -> DataFrame:
 
 def _metrics(spark: SparkSession, d: str) -> DataFrame:
     judged, keys = _judged(spark, d), ["object_type", "seconds"]
-    over = tr.overlaps(*map(_placed, _paths(spark, d)), F.floor(F.col("object_id") / 32)).join(world.truths(spark, d).select("object_id", "object_type"), "object_id")
+
+    def placed(samples: tr.Samples) -> tr.Samples:
+        """As :func:`_placed`."""
+        def moved(rows):
+            x, *rest = samples(rows)
+            return x + np.fmod(rows.column("object_id").to_numpy(), 32)[:, None] * 20, *rest
+
+        return moved
+
+    over = tr.overlaps(*_ends(spark, d), F.floor(F.col("object_id") / 32), modes=placed(world.mode_samples), trues=placed(world.true_samples))
+    over = over.join(world.truths(spark, d).select("object_id", "object_type").hint("merge"), "object_id")
     over = over.groupBy("object_type").agg(F.avg(F.col("overlap").cast("double")).alias("overlap_rate"))
-    return tr.rates(judged, keys).join(tr.precision(judged, keys), keys).join(over, "object_type")
+    return tr.metrics(judged, keys).join(over, "object_type").select(*keys, "n", *METRICS)
 
 
 METRICS = ("min_ade", "min_fde", "miss_rate", "overlap_rate", "map")

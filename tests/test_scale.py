@@ -43,3 +43,34 @@ def test_a_map_without_a_valid_step(spark):
     tracks, maps, lanes, points = _scenes(spark, 3)
     ends = spark.createDataFrame([(0, 7, 2.0, 1.0)], "map_id long, cp_id long, cx double, cy double")
     assert p.nearest_to_points(tracks.withColumn("valid", F.lit(False)), maps, ends, 5.0).collect() == []
+
+
+def test_trajectories_are_not_broadcast_nor_sent_as_arrays(spark):
+    import __spark_entry__
+
+    for name in ("ade_at_steps", "ade_by_type", "benchmark_metrics", "benchmark_rollup"):
+        query = __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution()
+        assert "path" not in query.optimizedPlan().toString()  # sixteen samples would go through each exchange
+        # only the small tables of metrics and types may be broadcast, not objects
+        broadcast = [x for x in query.executedPlan().toString().split("\n") if "BroadcastHashJoin" in x]
+        assert not any("object_id" in x for x in broadcast)
+
+
+def test_metrics_and_overlaps_by_hand(spark):
+    from scenelake.operators import trajectories as tr
+
+    def line(x, y, *valid):
+        return [(x + i, y, *valid) for i in range(16)]
+
+    # a truth at 2 m/s; the second mode is on it, the first misses, and the second object's only mode misses
+    paths = [(1, 0, 3.0, line(0.0, 9.0)), (1, 1, 1.0, line(0.0, 0.0)), (2, 0, 1.0, line(0.0, 5.0))]
+    paths = spark.createDataFrame(paths, "object_id long, mode int, score double, path array<struct<x: double, y: double>>")
+    truths = [(1, "TYPE_VEHICLE", line(0.0, 0.0, True)), (2, "TYPE_VEHICLE", line(0.0, 9.0, True)), (3, "TYPE_VEHICLE", line(0.0, 9.0, False))]
+    truths = spark.createDataFrame(truths, "object_id long, object_type string, path array<struct<x: double, y: double, valid: boolean>>")
+    found = tr.metrics(tr.misses(tr.errors(paths, truths)), ["object_type", "seconds"]).orderBy("seconds").collect()
+    # the hit has a quarter of the confidence and is the last of three modes, of two objects
+    assert [(r.seconds, r.n, r.min_ade, r.min_fde, r.miss_rate, round(r.map, 6)) for r in found] == [(s, 2, 2.0, 2.0, 0.5, round(1 / 2 / 3, 6)) for s in (3, 5, 8)]
+    # the first mode of 1 lies on 2; 3 lies there too, but is never valid
+    over = tr.overlaps(paths, truths, F.lit(0)).orderBy("object_id").collect()
+    assert [(r.object_id, r.overlap) for r in over] == [(1, 1), (2, 0)]
+    assert [r.overlap for r in tr.overlaps(paths, truths, F.col("object_id")).collect()] == [0, 0]
